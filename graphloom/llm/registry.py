@@ -6,6 +6,7 @@ import importlib
 
 #: Name of the query, and the module that has its query() and SQL.
 MODULES = {
+    "op1_language_id": "language_id",
     "op5_best_fit_packing": "packing",
     "op7_sentencepiece": "sentencepiece_codec",
     "op8_exact_dedup": "exact_dedup",

@@ -135,7 +135,7 @@ def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id",
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in by_bytes(texts):
                 keys = [_keys(t) for t in texts[i:j]]
-                cache.fill(k for ks in keys for k in ks)
+                cache.fill(set().union(*keys))
                 get, rows = cache.table.__getitem__, []
                 for doc, ks in zip(ids[i:j], keys, strict=True):
                     both = list(map(get, ks))
