@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_language_id": "language_id",
     "op5_best_fit_packing": "packing",
+    "op6_quality": "quality_classifier",
     "op7_sentencepiece": "sentencepiece_codec",
     "op8_exact_dedup": "exact_dedup",
 }
