@@ -11,6 +11,7 @@ MODULES = {
     "op6_quality": "quality_classifier",
     "op7_sentencepiece": "sentencepiece_codec",
     "op8_exact_dedup": "exact_dedup",
+    "op9_quality_rules": "quality_rules",
 }
 
 
