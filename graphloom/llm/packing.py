@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, by_bytes, documents, materialize
+from .word_bpe import WordBpe
 from .wordcache import WordCache
 
 SIZE = 2048
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 class CapacityTree:
@@ -105,22 +106,19 @@ _TOKENS: dict[str, WordCache] = {}
 def _cache(path: str) -> WordCache:
     """Of this worker process: the words' ids as bytes of unsigned 32-bit numbers."""
     if path not in _TOKENS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        _TOKENS[path] = WordCache(WordBpe(path).encode, CACHED_WORDS)
+    return _TOKENS[path]
 
-        def encode(words: list[str]) -> list[bytes]:
-            out = []
-            for i in range(0, len(words), 4096):
-                out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-            return out
 
-        _TOKENS[path] = WordCache(encode, CACHED_WORDS)
-    return _TOKENS[path]
+def _words(text: str | None) -> list[str]:
+    """The words of a text; A-Z in lower case where that can't change how characters compose."""
+    if not text:
+        return []
+    try:
+        text = text.encode("latin-1").lower().decode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,8 +137,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in by_bytes(texts):
-                words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts[i:j]]
-                cache.fill(w for ws in words for w in ws)
+                words = [_words(t) for t in texts[i:j]]
+                cache.fill(set().union(*words))
                 get, rows = cache.table.__getitem__, []
                 for doc, ws in zip(ids[i:j], words, strict=True):
                     data = b"".join(map(get, ws)) + end
