@@ -12,6 +12,7 @@ MODULES = {
     "op7_sentencepiece": "sentencepiece_codec",
     "op8_exact_dedup": "exact_dedup",
     "op9_quality_rules": "quality_rules",
+    "op10_substring_dedup": "substring_dedup",
 }
 
 
