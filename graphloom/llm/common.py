@@ -97,3 +97,15 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def segments(lengths: np.ndarray) -> np.ndarray:
     """The number of the segment of each element, for segments of these lengths."""
     return np.repeat(np.arange(len(lengths)), lengths)
+
+
+def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, text as binary), doc being a number of its own for each row: doc is the id where ids are whole and distinct; else rows are numbered by id (nulls
+    last) and text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    plain = dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    if plain and rows.where("id IS NULL").isEmpty() and rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
+    order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "ordered")

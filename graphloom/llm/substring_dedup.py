@@ -27,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, by_bytes, documents, materialize, shared_dir
+from .common import batch, by_bytes, documents, materialize, ordered, shared_dir
+from .filters import has, key_filter, pair_key
 
 WORDS, GRAM = 20, 6
 BATCHES, MAX_RUNS = 2, 3
-#: Bits of the filters that tell which places and documents later passes need: a fixed size that only saves work; when a
-#: filter fills up, more passes it and results stay the same.
-FILTER_BITS = 26
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -88,42 +86,6 @@ class _Texts:
         return out ^ (out >> np.uint64(29))
 
 
-def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter has the keys."""
-    slot = _slots(keys)
-    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def _slots(keys: np.ndarray) -> np.ndarray:
-    k = keys.astype(np.uint64) * _A
-    return (k >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _place_key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    k = (doc.astype(np.uint64) * _B) ^ (at.astype(np.uint64) * _C)
-    return k ^ (k >> np.uint64(33))
-
-
-def _filter(keys: DataFrame, *columns: str) -> np.ndarray:
-    """A filter of fixed size over the rows' keys (doc) or (doc, at); at most 2^FILTER_BITS / 64 rows come to the driver."""
-    schema = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-            slot = np.unique(_slots(_place_key(*c) if len(c) == 2 else c[0]))
-            word, first = np.unique(slot >> 6, return_index=True)
-            if len(word):
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first)
-                yield batch(schema, word, bits.view(np.int64))
-
-    found = keys.select(*columns).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    if found.num_rows:
-        out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
-
-
 def _firsts(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each distinct key the row with the least (doc, at), and all other rows."""
     order = np.lexsort((at, doc, *keys))
@@ -155,7 +117,7 @@ def _places(docs: DataFrame, chosen=None) -> DataFrame:
                 doc, low, high = own[t.doc[t.first]], t.at[t.first], t.at[t.last]
                 g, h = t.gram[t.anchor[t.first]], t.context
                 if bits is not None:
-                    use = np.flatnonzero(_in(bits, _place_key(doc, low)))
+                    use = np.flatnonzero(has(bits, pair_key(doc, low)))
                     if not len(use):
                         continue
                     times = (t.last - t.first + 1)[use]
@@ -215,7 +177,7 @@ class FingerprintIndex:
         mixed = firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
         edges = firsts.join(mixed, "g", "left_semi")
         self.texts = docs if self.texts is None else self.texts.unionByName(docs)
-        chosen = spark.sparkContext.broadcast(_filter(edges, "doc", "low"))
+        chosen = spark.sparkContext.broadcast(key_filter(edges, "doc", "low"))
         windows = _places(self.texts, chosen)
         fresh = docs.agg(F.min("doc")).first()[0]
         ranked = windows.where(~F.col("repeat")).withColumn("nth", F.row_number().over(Window.partitionBy("g", "h").orderBy("doc", "low")))
@@ -246,18 +208,6 @@ class FingerprintIndex:
         self.runs = []
 
 
-def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text as binary): doc is the id where ids are whole and distinct; else rows are numbered by id (nulls
-    last) and text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    plain = dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
-    if plain and rows.where("id IS NULL").isEmpty() and rows.groupBy("id").count().where("count > 1").isEmpty():
-        return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
-    order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(dealt.select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "ordered")
-
-
 def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc, spans): for each document of rows (doc, text as binary) with windows that came earlier, the arrays of (low,
     high) as FingerprintIndex.add() has them. The documents go into the index in batches, by quantiles of doc."""
@@ -295,16 +245,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in the same. Null texts have no words. Where ids repeat or are null, rows are ordered by id (nulls last), then by the
     text's hash; of rows equal in both, either may be the earlier. Other columns aren't read.
     """
-    rows = _ordered(docs, id_col, text_col)
+    rows = ordered(docs, id_col, text_col)
     spans = repeated_spans(rows, batches)
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(spans, "doc"))
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "doc"))
     schema = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.binary())])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without spans are done here; only the others' texts go on to the join."""
         for b in batches:
             docs, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
-            maybe = _in(bits.value, docs).tolist() if len(docs) else []
+            maybe = has(bits.value, docs).tolist() if len(docs) else []
             n, sha = [], []
             for t, m in zip(texts, maybe, strict=True):
                 words = t.split() if t else []
