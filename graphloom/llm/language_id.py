@@ -24,10 +24,11 @@ from .wordcache import RowCache, sums
 
 ORDER = 5
 #: Bounds of what is learned from: documents of a language, and distinct words over all languages.
-MAX_DOCS, MAX_WORDS = 2000, 400_000
+MAX_DOCS, MAX_WORDS = 1000, 120_000
 CACHED_WORDS = 250_000
-#: A text is rejected if its cross-entropy is over so many of the deviations that are usual at its length.
-REJECT_AT = 8.0
+#: A text is rejected if its cross-entropy is over so many times the usual one, and so many of the deviations that are
+#: usual at its length more. Texts of two languages that were learned stay below.
+REJECT_AT = (2.0, 4.0)
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,7 +101,7 @@ class LanguageModels:
         weight = np.exp(-np.minimum(np.sqrt(n)[:, None] * (entropy - low[:, None]) * self.scale, 700))
         score = np.where(n > 0, 1 / weight.sum(1), 0.0)
         usual = np.sqrt(self.spread[best, 0] ** 2 + self.spread[best, 1] ** 2 / np.maximum(n, 1))
-        rejected = (n == 0) | (low > self.mean[best] + REJECT_AT * usual)
+        rejected = (n == 0) | (low > REJECT_AT[0] * self.mean[best] + REJECT_AT[1] * usual)
         return np.where(n > 0, best, -1), score, rejected
 
 
@@ -133,8 +134,8 @@ def fit(words: list[tuple[str, str, int]], samples: list[tuple[str, np.ndarray |
             raw = np.bincount(inv, times[ok])
             if k < ORDER:
                 longer = place[ok] >= k
-                distinct = np.unique(np.stack([inv[longer].astype(np.uint64), grams[k][ok][longer]]), axis=1)[0].astype(np.int64)
-                count = np.bincount(distinct, minlength=len(key)).astype(np.float64)
+                which = np.unique(grams[k][ok][longer], return_index=True)[1]
+                count = np.bincount(inv[longer][which], minlength=len(key)).astype(np.float64)
                 start = np.bincount(inv[~longer], times[ok][~longer], len(key)) if k > 1 else 0
                 count = np.where(count > 0, count, start)
             else:
@@ -144,7 +145,6 @@ def fit(words: list[tuple[str, str, int]], samples: list[tuple[str, np.ndarray |
     grams = [np.unique(np.concatenate([p[k][0] for p in per])) for k in range(ORDER)]
     contexts = [np.unique(np.concatenate([p[k][2] for p in per])) for k in range(1, ORDER)]
     # The context of each n-gram, and the n-gram without its first character, in the joint arrays.
-    links: list[dict[int, tuple[int, int]]] = []
     context_of = [np.zeros(len(g), np.int64) for g in grams]
     lower_of = [np.zeros(len(g), np.int64) for g in grams]
     for lang in langs:
@@ -154,7 +154,6 @@ def fit(words: list[tuple[str, str, int]], samples: list[tuple[str, np.ndarray |
             i = _find(grams[k - 1], gr[k - 1][at])
             context_of[k - 1][i] = _find(contexts[k - 2], gr[k - 2][at - 1])
             lower_of[k - 1][i] = _find(grams[k - 2], gr[k - 2][at])
-    del links
     chars = len(grams[0])
     logp, backoff = [], []
     below = np.full((chars, n_langs), 1.0 / (chars + 1))
@@ -169,12 +168,10 @@ def fit(words: list[tuple[str, str, int]], samples: list[tuple[str, np.ndarray |
             d = once / (once + 2 * twice) if once and twice else 0.5
             ctx = context_of[k][i] if k else np.zeros(len(i), np.int64)
             total = np.bincount(ctx, count, len(weights))
-            kinds = np.bincount(ctx, minlength=len(weights))
             value[i, j] = np.maximum(count - d, 0) / total[ctx]
             there = total > 0
             taken = np.bincount(ctx, np.minimum(count, d), len(weights))
             weights[there, j] = np.maximum(taken[there] / total[there], 1e-6)
-            del kinds
         lower = below if k == 0 else below[lower_of[k]]
         p = value + weights[np.zeros(len(grams[k]), np.int64) if k == 0 else context_of[k]] * lower
         if k == 0:
@@ -245,12 +242,12 @@ def learn(docs: DataFrame, learned_from, max_docs: int = MAX_DOCS, max_words: in
         yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}, schema=schema)
 
     words = sample.select("text", "lang").mapInArrow(split, "lang string, word string, n long").where(F.length("word") <= 40).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
+    top = words.orderBy(F.desc("n"), "lang", "word").limit(max_words).toArrow().to_pydict()
     each = max(1, min(100, max_docs // 10))
     held = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.lit(1 << 24))
     few = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 24, int((1 << 24) * each / n) + 1))])[F.col("lang")]
     samples = [(r.lang, None, r.text) for r in rows.where((held < few) & (F.length("text") < 200_000)).select("lang", "text").collect()]
-    return fit([(r.lang, r.word, r.n) for r in top], samples)
+    return fit(list(zip(top["lang"], top["word"], top["n"], strict=True)), samples)
 
 
 _MODELS: dict[int, RowCache] = {}
