@@ -7,6 +7,7 @@ import importlib
 #: Name of the query, and the module that has its query() and SQL.
 MODULES = {
     "op1_language_id": "language_id",
+    "op2_line_dedup": "line_dedup",
     "op4_minhash_near_dedup": "near_dedup",
     "op5_best_fit_packing": "packing",
     "op6_quality": "quality_classifier",
