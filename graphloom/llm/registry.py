@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_language_id": "language_id",
     "op2_line_dedup": "line_dedup",
+    "op3_warc_derivatives": "warc",
     "op4_minhash_near_dedup": "near_dedup",
     "op5_best_fit_packing": "packing",
     "op6_quality": "quality_classifier",
