@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,50 +61,32 @@ def by_bytes(values: list, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow with state for each task: make() is called once in each task and returns the function of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = make()
-        for b in batches:
-            yield from of(b)
-
-    return df.mapInArrow(run, schema)
-
-
-class Memo(dict):
-    """A dict that fills itself by make(key) and is emptied when it holds `limit` keys; keys of over 64 bytes aren't kept,
-    so it needs a bounded amount of memory."""
-
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
-        return value
-
-
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def segments(lengths: np.ndarray) -> np.ndarray:
-    """The number of the segment of each element, for segments of these lengths."""
-    return np.repeat(np.arange(len(lengths)), lengths)
+def unique_ids(df: DataFrame, column: str) -> bool:
+    """Whether the column has whole numbers, none null and none twice."""
+    if dict(df.dtypes)[column] not in ("tinyint", "smallint", "int", "bigint"):
+        return False
+    return df.where(F.col(column).isNull()).isEmpty() and df.groupBy(column).count().where("count > 1").isEmpty()
 
 
-def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text as binary), doc being a number of its own for each row: doc is the id where ids are whole and distinct; else rows are numbered by id (nulls
-    last) and text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    plain = dict(rows.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
-    if plain and rows.where("id IS NULL").isEmpty() and rows.groupBy("id").count().where("count > 1").isEmpty():
-        return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
+def ordered(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
+    """(doc, id, text as binary), doc being a number of its own for each row: doc is the id where ids are whole and
+    distinct; else rows are numbered by id (nulls last) and text. With rest also a struct of all columns but the text."""
+    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")]
+    if rest:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"))
+    rows = docs.select(*columns)
+    others = [c for c in rows.columns if c != "id"]
+    if unique_ids(rows, "id"):
+        return rows.select(F.col("id").cast("long").alias("doc"), "id", *others)
     order = [F.col("id").asc_nulls_last(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(dealt.select(F.monotonically_increasing_id().alias("doc"), "id", "text"), "ordered")
+    return materialize(dealt.select(F.monotonically_increasing_id().alias("doc"), "id", *others), "ordered")
+
+
+def restored(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of docs from rows that ordered(docs, ..., rest=True) made."""
+    return rows.select(*[F.col("text").cast("string").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])

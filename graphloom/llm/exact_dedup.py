@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, hex_sha256, map_batches, materialize
+from .common import SPACE, documents, hex_sha256, materialize, ordered, restored
 
 #: Counters in a summary, and so the bound of what is broadcast.
 COUNTERS = 1024
@@ -76,11 +76,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows with one id and equal texts, one stays."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    # The digest is part of the key, so that an id that stands on different texts keeps only what is to be kept.
-    mine = docs.withColumns({"__sha": hex_sha256(normalised(F.col(text_col))), "__id": F.col(id_col)})
-    one = mine.join(kept, (mine["__id"].eqNullSafe(kept["__id"])) & (mine["__sha"] == kept["__sha"]), "left_semi")
-    return one.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    rows = ordered(docs, id_col, text_col, rest=True)
+    kept = exact_dedup(rows.select("doc", F.col("text").cast("string").alias("text")), "doc").where("kept").select(F.col("doc_id").alias("doc"))
+    return restored(rows.join(kept, "doc", "left_semi"), docs, text_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -253,6 +253,22 @@ def learn(docs: DataFrame, learned_from, max_docs: int = MAX_DOCS, max_words: in
 _MODELS: dict[int, RowCache] = {}
 
 
+def _cache(models: LanguageModels) -> RowCache:
+    """Of this worker process."""
+    if id(models) not in _MODELS:
+        _MODELS.clear()
+        _MODELS[id(models)] = RowCache(models.words, len(models.langs) + 1, CACHED_WORDS)
+    return _MODELS[id(models)]
+
+
+def _judged(cache: RowCache, models: LanguageModels, texts: list) -> Iterator[tuple]:
+    """For ranges i..j-1 of the texts: i, j and what decide() gives."""
+    for i, j in by_bytes(texts):
+        words = [t.lower().split() if t else [] for t in texts[i:j]]
+        cache.fill(set().union(*words))
+        yield i, j, *models.decide(sums(cache.matrix, [cache.rows(ws) for ws in words]))
+
+
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score, rejected. lang_pred is the language of the lowest cross-entropy, or `und` for a
     null text and one without letters; these, and texts unlike all languages, are rejected. Ids may be null or repeat;
@@ -261,22 +277,29 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if id(m) not in _MODELS:
-            _MODELS.clear()
-            _MODELS[id(m)] = RowCache(m.words, len(m.langs) + 1, CACHED_WORDS)
-        cache, names = _MODELS[id(m)], [*m.langs, UNKNOWN]
+        cache, names = _cache(shared.value), [*shared.value.langs, UNKNOWN]
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in by_bytes(texts):
-                words = [t.lower().split() if t else [] for t in texts[i:j]]
-                cache.fill(set().union(*words))
-                best, score, rejected = m.decide(sums(cache.matrix, [cache.rows(ws) for ws in words]))
-                yield batch(schema, ids[i:j], [names[k] for k in best.tolist()], score, rejected)
+            ids = b.column(0)
+            for i, j, best, score, rejected in _judged(cache, shared.value, b.column(1).to_pylist()):
+                yield batch(schema, ids.slice(i, j - i), [names[k] for k in best.tolist()], score, rejected)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, models: LanguageModels, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text isn't rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _cache(shared.value)
+        for b in batches:
+            rejected = [r for _, _, _, _, r in _judged(cache, shared.value, b.column(at).to_pylist())]
+            yield b.filter(pa.array(~np.concatenate(rejected) if rejected else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", parts: int = 3, which: int = 1):
     """Whether crc32 of the id as text leaves `which` by `parts`; a null id isn't held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == which, F.lit(False))

@@ -1,10 +1,10 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's signature has SLOTS b-bit minima. Documents are candidates if their signatures differ in at most MOST slots.
-The signature is split into CHUNKS chunks: by the pigeonhole principle, such documents differ in at most one slot of some
-chunk, as MOST < 2 * CHUNKS. A chunk's allowed errors are enumerated by leaving out each of its slots in turn, so all
-pairs under the threshold share a key. For documents whose sets have the least similarity that is linked, 0.85, the
-chance that signatures differ in more slots than MOST is under one in a million.
+A document's signature has SLOTS b-bit minima. It is split into chunks, 13 or, for similarities under 0.85, 16.
+Documents are candidates if their signatures differ in at most 25 slots, or 31: by the pigeonhole principle, they then
+differ in at most one slot of some chunk. A chunk's allowed errors are enumerated by leaving out each of its slots in
+turn, so all pairs under the threshold share a key. For documents whose sets have the least similarity that is linked,
+0.85 or 0.8, the chance that signatures differ in more slots is under one in a million.
 
 Documents of equal sets are one from the start. Then every document of a key is held against the key's first one
 (linear in rows, however many share the key); candidates are confirmed on the full sets, and links make components. Only
@@ -23,18 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_bytes, documents, materialize, ordered
+from .common import batch, by_bytes, documents, materialize, ordered, restored
 from .components import connected_components
 from .filters import has, key_filter
 
-SLOTS, CHUNKS, MOST = 64, 13, 25
+SLOTS = 64
 #: Rows of a block, where keys or families are dealt out as pairs of blocks.
 BLOCK = 2000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDED = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.int64).astype(np.uint64)
-_PARTS = np.array_split(np.arange(SLOTS), CHUNKS)
+
+
+def chunks_for(percent: int) -> int:
+    return 13 if percent >= 85 else 16
+
+
+def _most(chunks: int) -> int:
+    """Slots in which candidates may differ."""
+    return 2 * chunks - 1
 
 
 def shingle_sets(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +115,11 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("doc", F.col("id").cast("long"), "text").mapInArrow(run, "doc long, id long, n_shingles long, d1 long, d2 long, signature binary")
 
 
-def _keys_of(signed: np.ndarray) -> np.ndarray:
+def _keys_of(signed: np.ndarray, chunks: int) -> np.ndarray:
     """[document, SLOTS]: for each slot the hash of the other slots of its chunk."""
     out = np.empty(signed.shape, np.uint64)
     s = signed.astype(np.uint64)
-    for c, part in enumerate(_PARTS):
+    for c, part in enumerate(np.array_split(np.arange(SLOTS), chunks)):
         for left_out in part:
             h = np.full(len(s), c * SLOTS + left_out + 1, np.uint64) * _C
             for p in part:
@@ -125,7 +133,7 @@ def _keys_of(signed: np.ndarray) -> np.ndarray:
 _KEYED = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
 
 
-def signature_keys(signed: DataFrame, wanted=None) -> DataFrame:
+def signature_keys(signed: DataFrame, chunks: int, wanted=None) -> DataFrame:
     """(key, doc) of rows (doc, signature), of all keys or of those that pass a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +141,7 @@ def signature_keys(signed: DataFrame, wanted=None) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 some = b.slice(i, 4096)
-                keys = _keys_of(np.frombuffer(b"".join(some.column(1).to_pylist()), "<u2").reshape(-1, SLOTS)).ravel()
+                keys = _keys_of(np.frombuffer(b"".join(some.column(1).to_pylist()), "<u2").reshape(-1, SLOTS), chunks).ravel()
                 doc = np.repeat(some.column(0).to_numpy(zero_copy_only=False), SLOTS)
                 if bits is not None:
                     use = has(bits, keys)
@@ -212,7 +220,11 @@ class _Union:
         self.up[max(i, j)] = min(i, j)
 
 
-def _candidate_families(table: pa.Table) -> pa.Table:
+def _candidate_families(most: int):
+    return lambda table: _families(table, most)
+
+
+def _families(table: pa.Table, most: int) -> pa.Table:
     """Of one key's documents (key, doc, component, signature, ...): (a, b) for each document that is a candidate of one
     of another component, b being the first of all it is connected with by candidates."""
     doc, comp = table["doc"].to_numpy(), table["component"].to_numpy()
@@ -221,7 +233,7 @@ def _candidate_families(table: pa.Table) -> pa.Table:
     signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)[order]
     sets, flagged = _Union(len(doc)), np.zeros(len(doc), bool)
     for i in range(len(doc) - 1):
-        near = np.flatnonzero(((signed[i + 1 :] != signed[i]).sum(1) <= MOST) & (comp[i + 1 :] != comp[i])) + i + 1
+        near = np.flatnonzero(((signed[i + 1 :] != signed[i]).sum(1) <= most) & (comp[i + 1 :] != comp[i])) + i + 1
         if len(near):
             flagged[i] = flagged[near] = True
             for j in near.tolist():
@@ -231,6 +243,8 @@ def _candidate_families(table: pa.Table) -> pa.Table:
 
 
 def _family_links(size: int, percent: int):
+    most = _most(chunks_for(percent))
+
     def run(table: pa.Table) -> pa.Table:
         """Links among one family's documents (doc, component, signature, text, ...) that join different components."""
         table = table.sort_by("doc")
@@ -244,7 +258,7 @@ def _family_links(size: int, percent: int):
             joined.join(first.setdefault(c, i), i)
         links = []
         for i in range(len(doc) - 1):
-            for j in (np.flatnonzero((signed[i + 1 :] != signed[i]).sum(1) <= MOST) + i + 1).tolist():
+            for j in (np.flatnonzero((signed[i + 1 :] != signed[i]).sum(1) <= most) + i + 1).tolist():
                 if joined.root(i) != joined.root(j) and _similar(sets[i], sets[j], percent):
                     joined.join(i, j)
                     links.append((doc[i], doc[j]))
@@ -255,30 +269,43 @@ def _family_links(size: int, percent: int):
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, for links between documents whose sets of `size`-word shingles
-    have a Jaccard similarity of at least percent/100. `percent` must be 80 at least, or signatures of linked documents
-    differ in more than MOST slots too often.
+    have a Jaccard similarity of at least percent/100, which must be 80 at least.
 
     A null or empty text has an empty set, which is linked with nothing. Rows of equal sets are linked. Where ids repeat
     or are null, rows count by themselves, ordered by id (nulls last) and text; component_id is the id of the
     component's first row, and kept marks that row. Other columns aren't read.
     """
+    out = components_of(ordered(docs, id_col, text_col), size, percent)
+    names = out.select(F.col("doc").alias("component"), F.col("id").alias("component_id"))
+    return out.join(names, "component").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("component") == F.col("doc")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each component, with all its columns."""
+    rows = ordered(docs, id_col, text_col, rest=True)
+    kept = components_of(rows, size, percent).where("component = doc").select("doc")
+    return restored(rows.join(kept, "doc", "left_semi"), docs, text_col)
+
+
+def components_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc, id, n_shingles, component) of rows (doc, id, text as binary); component is its least doc."""
     if percent < 80:
         raise ValueError("a similarity of at least 80 percent")
-    rows = ordered(docs, id_col, text_col)
+    chunks = chunks_for(percent)
     signed = materialize(signatures(rows, size), "signatures")
     digests = signed.where("n_shingles > 0")
     first = digests.groupBy("d1", "d2", "n_shingles").agg(F.min("doc").alias("rep"))
     members = digests.join(first, ["d1", "d2", "n_shingles"]).select("doc", "rep")
     # One document of each distinct set, from here on.
     sets = materialize(digests.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "signature"), "sets")
-    spark = docs.sparkSession
-    shared = signature_keys(sets).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
+    spark = rows.sparkSession
+    shared = signature_keys(sets, chunks).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
     wanted = spark.sparkContext.broadcast(key_filter(shared, "key"))
-    keyed = materialize(signature_keys(sets, wanted), "keys")
+    keyed = materialize(signature_keys(sets, chunks, wanted), "keys")
     hubs = keyed.groupBy("key").agg(F.min("doc").alias("a"))
     pairs = keyed.join(hubs, "key").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
     sa, sb = (sets.select(F.col("doc").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
-    pairs = materialize(_near_pairs(pairs.join(sa, "a").join(sb, "b")), "pairs")
+    pairs = materialize(_near_pairs(pairs.join(sa, "a").join(sb, "b"), _most(chunks)), "pairs")
     ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     links = materialize(_confirmed(pairs, materialize(_texts_of(rows, ends), "texts"), size, percent), "links")
     parts = connected_components(links)
@@ -286,18 +313,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, id_col: s
     if not rest.isEmpty():
         parts = connected_components(links.unionByName(rest))
     of = members.join(parts.select(F.col("doc").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc", "id", "n_shingles").join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    names = signed.select(F.col("doc").alias("component"), F.col("id").alias("component_id"))
-    return out.join(names, "component").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("component") == F.col("doc")).alias("kept"))
+    return signed.select("doc", "id", "n_shingles").join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def _near_pairs(pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b, sa, sb) whose signatures differ in at most MOST slots."""
+def _near_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """Those of pairs (a, b, sa, sb) whose signatures differ in at most `most` slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, SLOTS) for i in (2, 3))
-            yield b.select([0, 1]).filter(pa.array((one != two).sum(1) <= MOST))
+            yield b.select([0, 1]).filter(pa.array((one != two).sum(1) <= most))
 
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -307,7 +332,7 @@ def _rest_links(rows: DataFrame, sets: DataFrame, keyed: DataFrame, parts: DataF
     placed = keyed.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     held = placed.join(open_keys, "key", "left_semi").join(sets, "doc").select("key", "doc", "component", "signature")
-    families = materialize(_in_blocks(held, "key").groupBy("key", "block_a", "block_b").applyInArrow(_candidate_families, "a long, b long").distinct(), "candidates")
+    families = materialize(_in_blocks(held, "key").groupBy("key", "block_a", "block_b").applyInArrow(_candidate_families(_most(chunks_for(percent))), "a long, b long").distinct(), "candidates")
     if families.isEmpty():
         return families
     whole = materialize(connected_components(families).select("doc", F.col("component").alias("family")), "families")

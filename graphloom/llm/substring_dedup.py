@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, by_bytes, documents, materialize, ordered, shared_dir
+from .common import batch, by_bytes, documents, materialize, ordered, restored, shared_dir
 from .filters import has, key_filter, pair_key
 
 WORDS, GRAM = 20, 6
@@ -281,5 +281,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out if with_text else out.drop("kept_text")
 
 
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", batches: int = BATCHES) -> DataFrame:
+    """docs with the repeated words cut out of their texts: where words go, the text is the others joined by one space,
+    and the length column, if there is one, is the new text's. Every row stays, even one that loses all of its words."""
+    rows = ordered(docs, id_col, text_col, rest=True)
+    spans = repeated_spans(rows, batches)
+    joined = rows.join(spans, "doc", "left").select("text", "rest", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, s in enumerate(b.column("spans").to_pylist()):
+                if s:
+                    texts[i] = b" ".join(_kept(texts[i].split(), s))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b.column("rest"), b.column("spans").is_valid()], names=["text", "rest", "cut"])
+
+    kinds = dict(joined.dtypes)
+    made = joined.mapInArrow(cut, f"text binary, rest {kinds['rest']}, cut boolean")
+    out = restored(made, docs, text_col) if length_col not in docs.columns else made.select(
+        *[F.col("text").cast("string").alias(c) if c == text_col else F.when(F.col("cut"), F.length(F.col("text").cast("string"))).otherwise(F.col(f"rest.`{c}`")).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(f"rest.`{c}`") for c in docs.columns]
+    )
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
