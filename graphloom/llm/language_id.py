@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, by_bytes, documents
-from .wordcache import RowCache, sums
+from .wordcache import RowCache, current, sums
 
 ORDER = 5
 #: Bounds of what is learned from: documents of a language, and distinct words over all languages.
@@ -250,15 +250,10 @@ def learn(docs: DataFrame, learned_from, max_docs: int = MAX_DOCS, max_words: in
     return fit(list(zip(top["lang"], top["word"], top["n"], strict=True)), samples)
 
 
-_MODELS: dict[int, RowCache] = {}
-
-
 def _cache(models: LanguageModels) -> RowCache:
     """Of this worker process."""
-    if id(models) not in _MODELS:
-        _MODELS.clear()
-        _MODELS[id(models)] = RowCache(models.words, len(models.langs) + 1, CACHED_WORDS)
-    return _MODELS[id(models)]
+    # The cache holds the models, so no others can have their id meanwhile.
+    return current(("languages", id(models)), lambda: RowCache(models.words, len(models.langs) + 1, CACHED_WORDS))
 
 
 def _judged(cache: RowCache, models: LanguageModels, texts: list) -> Iterator[tuple]:

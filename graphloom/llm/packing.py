@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import batch, by_bytes, documents, materialize
 from .word_bpe import WordBpe
-from .wordcache import WordCache
+from .wordcache import WordCache, current
 
 SIZE = 2048
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 
 class CapacityTree:
@@ -100,14 +100,9 @@ def best_fit_decreasing(histogram: dict[int, int], size: int = SIZE) -> list[tup
     return plan
 
 
-_TOKENS: dict[str, WordCache] = {}
-
-
 def _cache(path: str) -> WordCache:
     """Of this worker process: the words' ids as bytes of unsigned 32-bit numbers."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordCache(WordBpe(path).encode, CACHED_WORDS)
-    return _TOKENS[path]
+    return current(("word ids", path), lambda: WordCache(WordBpe(path).encode, CACHED_WORDS))
 
 
 def _words(text: str | None) -> list[str]:

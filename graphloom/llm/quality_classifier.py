@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, by_bytes, documents
 from .language_id import held_out
-from .wordcache import RowCache, sums
+from .wordcache import RowCache, current, sums
 
 BUCKETS, WIDTH, GRAMS = 1 << 17, 16, (3, 4, 5)
 #: Bound of what is learned from: documents of each label.
@@ -147,9 +147,6 @@ def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
             yield v.values.to_numpy(zero_copy_only=False)
 
 
-_CACHES: dict[int, RowCache] = {}
-
-
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score (probability of label 1), predicted. An empty or null text has no features, so its score is
     that of the bias alone. Ids may be null or repeat; other columns aren't read."""
@@ -158,10 +155,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if id(m) not in _CACHES:
-            _CACHES.clear()
-            _CACHES[id(m)] = RowCache(m.words, WIDTH + 1, CACHED_WORDS)
-        cache = _CACHES[id(m)]
+        cache = current(("quality", id(m)), lambda: RowCache(m.words, WIDTH + 1, CACHED_WORDS))
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in by_bytes(texts):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .bpe import PairRanks, merge_words
 from .common import batch, by_bytes, documents
-from .wordcache import WordCache
+from .wordcache import WordCache, current
 
 MARK = "▁"
 CACHED_UNITS = 200_000
@@ -94,13 +94,11 @@ class PieceModel:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_CACHES: dict[str, tuple[PieceModel, WordCache]] = {}
-
-
 def _cache(path: str) -> tuple[PieceModel, WordCache]:
     """Of this worker process: for a unit, its ids as decimals with a space after each, and its decoded bytes. A unit's
     key has one space less in front; one that begins with a line feed has itself as its key."""
-    if path not in _CACHES:
+
+    def made() -> tuple[PieceModel, WordCache]:
         model = PieceModel(path)
         decimals = [b"%d " % i for i in range(len(model.bytes))]
 
@@ -110,8 +108,9 @@ def _cache(path: str) -> tuple[PieceModel, WordCache]:
             said, text = list(map(decimals.__getitem__, ids)), list(map(model.bytes.__getitem__, ids))
             return [(b"".join(said[i:j]), b"".join(text[i:j])) for i, j in zip([0, *ends], ends)]
 
-        _CACHES[path] = model, WordCache(make, CACHED_UNITS)
-    return _CACHES[path]
+        return model, WordCache(make, CACHED_UNITS)
+
+    return current(("pieces", path), made)
 
 
 def _keys(text: str) -> list[str]:

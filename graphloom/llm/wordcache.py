@@ -84,3 +84,15 @@ def sums(matrix: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         for j in range(0, len(r), 1 << 16):
             out[i] += matrix[r[j : j + (1 << 16)]].sum(0, dtype=np.float64)
     return out
+
+
+_CURRENT: list = [None, None]
+
+
+def current(key, make: Callable):
+    """What make() gives, kept by this worker process until another key is asked for: a process that runs tasks of several
+    operators one after the other holds the table of one of them."""
+    if _CURRENT[0] != key:
+        _CURRENT[:] = [None, None]
+        _CURRENT[:] = [key, make()]
+    return _CURRENT[1]
