@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 CRLF = b"\r\n"
 #: The date of records made from pages, which have none.
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+#: What isn't closed goes to the end of the page, as browsers have it; so no part of a page is looked at again and again.
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>(?:.*?</\1\s*>|.*\Z)", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|html|head|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|thead|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+_HREF = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 
 
 def sha1_digest(data: bytes) -> str:
@@ -73,9 +74,17 @@ def response(url: str, body: bytes, key: str = "") -> tuple[dict[str, str], byte
     return headers, block
 
 
+def _before_last_tag(page: str) -> tuple[str, str]:
+    """A page up to its last closing bracket, and the rest, in which no tag ends."""
+    cut = page.rfind(">") + 1
+    return page[:cut], page[cut:]
+
+
 def plain_text(page: str) -> str:
     """The text of a page: without scripts, styles and comments, a line for each block, single spaces."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page)))
+    head, rest = _before_last_tag(page)
+    head, more = _before_last_tag(_DROP.sub(" ", head))
+    text = _TAG.sub("", _BLOCK.sub("\n", head)) + more + rest
     lines = (" ".join(x.split()) for x in html_lib.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 

@@ -116,3 +116,15 @@ def test_derivatives_of_odd_pages(spark):
     assert len(out) == 12 and {r.headers["WARC-Type"] for r in out} == {"metadata", "conversion"}
     assert [bytes(r.block).decode() for r in out if r.page_id == 4 and r.headers["WARC-Type"] == "conversion"] == ["plain < text > & more"]
     assert warc.derivatives(warc.responses(pages.where("page_id > 9"))).count() == 0
+
+
+def test_pages_that_never_close_their_tags():
+    import time
+
+    began = time.monotonic()
+    for unit in ("<script>", "<p ", "<a ", "<!-- ", "<title>", "<a href=x <b", "</script ", "<", "&amp"):
+        page = unit * 60_000
+        warc.plain_text(page)
+        warc.derive(*warc.response("http://h.example/", page.encode()))
+    assert time.monotonic() - began < 60
+    assert warc.plain_text("<p>a<script>b<p>c") == "a" and warc.plain_text("a <b") == "a <b"
