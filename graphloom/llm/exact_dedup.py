@@ -25,26 +25,30 @@ def normalised(text: Column) -> Column:
 
 
 def misra_gries(df: DataFrame, column: str, k: int = COUNTERS) -> DataFrame:
-    """Misra-Gries summaries of a string column, one for each partition: (item, low), at most k rows each. low is at
-    least the item's count in the partition less n/(k+1) for n rows, and at most that count. Nulls aren't counted."""
+    """Misra-Gries summaries of a column of strings or longs, one for each partition: (item, low), at most k rows each. low
+    is at least the item's count in the partition less n/(k+1) for n rows, and at most that count. Nulls aren't counted."""
+    import numpy as np
     import pyarrow.compute as pc
 
-    schema = pa.schema([("item", pa.string()), ("low", pa.int64())])
+    kind = "string" if dict(df.dtypes)[column] == "string" else "long"
+    schema = pa.schema([("item", pa.string() if kind == "string" else pa.int64()), ("low", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
+        held = schema.empty_table()
         for b in batches:
-            for x in pc.value_counts(b.column(0).drop_null()).to_pylist():
-                counts[x["values"]] = counts.get(x["values"], 0) + x["counts"]
-            if len(counts) > k:  # taking the (k+1)th largest count from all is as good as one by one
-                least = sorted(counts.values(), reverse=True)[k]
-                counts = {i: n - least for i, n in counts.items() if n > least}
-        yield pa.RecordBatch.from_pydict({"item": list(counts), "low": list(counts.values())}, schema=schema)
+            counts = pc.value_counts(b.column(0).drop_null())
+            more = pa.Table.from_arrays([counts.field(0), counts.field(1)], schema=schema)
+            held = pa.concat_tables([held, more]).group_by("item").aggregate([("low", "sum")]).rename_columns(["item", "low"])
+            if held.num_rows > k:  # taking the (k+1)th largest count from all is as good as one by one
+                low = held["low"].to_numpy()
+                least = np.partition(low, -k - 1)[-k - 1]
+                held = pa.Table.from_arrays([held["item"].filter(pa.array(low > least)), pa.array(low[low > least] - least)], schema=schema)
+        yield from held.combine_chunks().to_batches()
 
-    return df.select(F.col(column).cast("string")).mapInArrow(run, "item string, low long")
+    return df.select(F.col(column).cast(kind)).mapInArrow(run, f"item {kind}, low long")
 
 
-def heavy_candidates(df: DataFrame, column: str, k: int = COUNTERS) -> list[str]:
+def heavy_candidates(df: DataFrame, column: str, k: int = COUNTERS) -> list:
     """At most k values of the column; any on over 2/(k+1) of the rows is among them."""
     sums = misra_gries(df, column, k).groupBy("item").agg(F.sum("low").alias("low")).where("low > 1")
     return [r.item for r in sums.orderBy(F.desc("low"), "item").limit(k).collect()]

@@ -96,8 +96,9 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{k: 0 for k in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
-@pytest.mark.parametrize("batches", [1, 2, 3])
-def test_substrings_against_brute_force(docs_of, batches):
+@pytest.mark.parametrize("batches, heavy", [(1, 1024), (2, 1), (3, 5), (3, 1024)])
+def test_substrings_against_brute_force(docs_of, batches, heavy, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
     r = random.Random(batches)
     passages = [prose(500 + k, 20 + 7 * k) for k in range(8)]
     rows = distinct_ids(ODD)
