@@ -83,7 +83,8 @@ def apply_rules(docs: DataFrame, share: float = LINE_SHARE, texts: int = LINE_TE
     """
     stats = materialize(text_statistics(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "statistics")
     lines = stats.select("row", "host", F.inline("lines"))
-    removed = lines.join(frequent_lines(stats, share, texts), ["host", "h"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    frequent = materialize(frequent_lines(stats, share, texts), "frequent")  # so that the join can split a line's many rows
+    removed = lines.join(frequent, ["host", "h"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT_SHARE) * F.col("n_words"))
     out = stats.drop("lines", "host", "digest").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     depleted = 100 * (F.col("n_words") - F.col("n_removed_words")) < round(100 * left) * F.col("n_words")
