@@ -11,8 +11,9 @@ whole, from the texts. Windows count as equal if their hashes over all 20 words
 independent 64-bit hashes, are equal: that verifies what the sampled fingerprints found. Runs are compacted into one
 when they become many.
 
-What single tasks could gather of a frequent passage is bounded: each Arrow batch passes on one row of each context or
-window, the first; its other places are repeats already.
+What single tasks could gather of a frequent passage is bounded: a range of texts passes on one row of each context or
+window, the first; its other places are repeats already. Grams on very many rows are found by Misra-Gries summaries. They
+are kept apart: their contexts are dealt by gram and context, and are all candidates, without a merge-join.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, by_bytes, documents, materialize, ordered, restored, shared_dir
+from .exact_dedup import heavy_candidates
 from .filters import has, key_filter, pair_key
+from .wordcache import release_memory
 
 WORDS, GRAM = 20, 6
 BATCHES, MAX_RUNS = 2, 3
+#: Grams that are kept apart, at most.
+HEAVY = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -100,16 +105,38 @@ _PLACES = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()),
 _PLACES_SQL = "g long, h long, doc long, low long, high long, repeat boolean"
 
 
+class _Frequent:
+    """A Misra-Gries summary of numbers, fed with arrays."""
+
+    def __init__(self, k: int):
+        self.k, self.items, self.low = k, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        items, low = np.unique(values, return_counts=True)
+        items, place = np.unique(np.concatenate((self.items, items)), return_inverse=True)
+        low = np.bincount(place, np.concatenate((self.low, low))).astype(np.int64)
+        if len(items) > self.k:  # taking the (k+1)th largest count from all is as good as one by one
+            low -= np.partition(low, -self.k - 1)[-self.k - 1]
+        self.items, self.low = items[low > 0], low[low > 0]
+
+
 def _places(docs: DataFrame, chosen=None) -> DataFrame:
     """Rows (g, h, doc, low, high, repeat) of the contexts in documents (doc, text as binary): h is the context's hash,
-    low and high the first words of its first and last window. With a filter `chosen` of (doc, low): of the single
-    windows in the chosen contexts, h being the window's hash. repeat: this isn't the first place in its Arrow batch."""
+    low and high the first words of its first and last window. With filters `chosen` of (doc, low) and of doc: of the
+    single windows in the chosen contexts, h being the window's hash. repeat: this isn't the first place in its range of
+    texts. Without filters also rows without doc: of the frequent grams of the task, h being a count as a Misra-Gries
+    summary has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if chosen is None else chosen.value
+        bits, of_docs = (None, None) if chosen is None else chosen.value
+        frequent = _Frequent(HEAVY)
+        release_memory()
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for i, j in by_bytes(texts, 6 << 20):
+            if of_docs is not None:
+                use = np.flatnonzero(has(of_docs, ids))
+                ids, texts = ids[use], [texts[k] for k in use.tolist()]
+            for i, j in by_bytes(texts, 4 << 20):
                 t = _Texts([x.split() if x else [] for x in texts[i:j]])
                 if t.empty:
                     continue
@@ -125,9 +152,14 @@ def _places(docs: DataFrame, chosen=None) -> DataFrame:
                     doc, low, g, h = own[t.doc[w]], t.at[w], np.repeat(g[use], times), t.window[t.start[w]]
                     high = low
                 one, rest = _firsts([g, h], doc, low)
+                if bits is None:
+                    frequent.add(g[one])
                 for rows, repeat in ((one, False), (rest, True)):
                     if len(rows):
                         yield batch(_PLACES, g[rows].view(np.int64), h[rows].view(np.int64), doc[rows], low[rows], high[rows], np.full(len(rows), repeat))
+        if len(frequent.items):
+            none = pa.nulls(len(frequent.items))
+            yield batch(_PLACES, frequent.items.view(np.int64), frequent.low, *(none.cast(f.type) for f in list(_PLACES)[2:]))
 
     return docs.select("doc", "text").mapInArrow(run, _PLACES_SQL)
 
@@ -141,10 +173,13 @@ class FingerprintIndex:
         self.buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.texts: DataFrame | None = None
 
-    def _write(self, rows: DataFrame) -> str:
-        """A run: rows (g, h, doc, low, high), bucketed and sorted by g, so that joins by g need no exchange."""
+    def _write(self, rows: DataFrame, heavy: DataFrame) -> str:
+        """A run: rows (k, g, h, doc, low, high), bucketed and sorted by k, so that joins by k need no exchange. k is g, but
+        for heavy grams it is mixed with h, so that no bucket gets all of such a gram."""
         name = f"fingerprints_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "g").sortWithinPartitions("g").write.option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, "g").sortBy("g").saveAsTable(name))
+        keyed = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "g", "left")
+        keyed = keyed.select(F.when(F.col("heavy"), F.xxhash64("g", "h")).otherwise(F.col("g")).alias("k"), "g", "h", "doc", "low", "high")
+        (keyed.repartition(self.buckets, "k").sortWithinPartitions("k").write.option("path", f"{self.path}/{name}").option("compression", "zstd").bucketBy(self.buckets, "k").sortBy("k").saveAsTable(name))
         return name
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -152,32 +187,39 @@ class FingerprintIndex:
         high) of the windows that came earlier, low and high being the first words of the first and last window."""
         spark = self.spark
         found = materialize(_places(docs), "contexts")
-        name = self._write(found.where(~F.col("repeat")).drop("repeat"))
+        sums = found.where("doc IS NULL").groupBy("g").agg(F.sum("h").alias("low")).where("low > 1").orderBy(F.desc("low"), "g").limit(HEAVY)
+        heavy = spark.createDataFrame([(r.g,) for r in sums.collect()], "g long")  # at most HEAVY rows
+        found = found.where("doc IS NOT NULL")
+        new = found.where(~F.col("repeat")).drop("repeat")
+        name = self._write(new, heavy)
         run = spark.table(name)
         repeats = [found.where("repeat").select("doc", "low", "high")]
-        several = run.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.lit(True).alias("several"))
-        mine = run.join(several, "g", "left")
-        old = []
-        for k, r in enumerate(self.runs):  # the merge-joins
-            history = spark.table(r)
-            mine = mine.join(history.select("g").distinct().withColumn(f"in{k}", F.lit(True)), "g", "left")
-            old.append(history.join(run.select("g"), "g", "left_semi").withColumn("new", F.lit(False)))
-        hit = F.coalesce(F.col("several"), F.lit(False))
-        for k in range(len(self.runs)):
-            hit = hit | F.coalesce(F.col(f"in{k}"), F.lit(False))
+        plain = run.where("k = g")
+        several = plain.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.lit(True).alias("several"))
+        mine = plain.join(several, "k", "left")
         places = ("g", "h", "doc", "low", "high", "new")
-        candidates = mine.where(hit).withColumn("new", F.lit(True)).select(*places)
-        for o in old:
-            candidates = candidates.unionByName(o.select(*places))
+        candidates = run.where("k <> g").withColumn("new", F.lit(True)).select(*places)
+        hit = F.coalesce(F.col("several"), F.lit(False))
+        for i, r in enumerate(self.runs):  # the merge-joins
+            history = spark.table(r)
+            # Grams that are heavy in either are all candidates, wherever they are; the others are found by k.
+            apart = history.select("g", "k").where("k <> g").select("g").distinct().withColumn(f"apart{i}", F.lit(True))
+            mine = mine.join(history.where("k = g").select("k").distinct().withColumn(f"in{i}", F.lit(True)), "k", "left")
+            mine = mine.join(materialize(apart, "apart"), "g", "left")
+            hit = hit | F.coalesce(F.col(f"in{i}"), F.col(f"apart{i}"), F.lit(False))
+            light = history.where("k = g").join(plain.select("k"), "k", "left_semi")
+            other = history.where("k <> g").unionByName(history.where("k = g").join(F.broadcast(heavy), "g", "left_semi"))
+            candidates = candidates.unionByName(light.unionByName(other).withColumn("new", F.lit(False)).select(*places))
+        candidates = candidates.unionByName(mine.where(hit).withColumn("new", F.lit(True)).select(*places))
         nth = F.row_number().over(Window.partitionBy("g", "h").orderBy("doc", "low"))
         ranked = materialize(candidates.withColumn("nth", nth), "candidates")
         repeats.append(ranked.where("nth > 1 AND new").select("doc", "low", "high"))
         # Grams with several contexts: their windows one by one.
         firsts = ranked.where("nth = 1")
-        mixed = firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+        mixed = materialize(firsts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "mixed")
         edges = firsts.join(mixed, "g", "left_semi")
         self.texts = docs if self.texts is None else self.texts.unionByName(docs)
-        chosen = spark.sparkContext.broadcast(key_filter(edges, "doc", "low"))
+        chosen = spark.sparkContext.broadcast((key_filter(edges, "doc", "low"), key_filter(edges, "doc")))
         windows = _places(self.texts, chosen)
         fresh = docs.agg(F.min("doc")).first()[0]
         ranked = windows.where(~F.col("repeat")).withColumn("nth", F.row_number().over(Window.partitionBy("g", "h").orderBy("doc", "low")))
@@ -198,7 +240,8 @@ class FingerprintIndex:
         for r in self.runs[1:]:
             rows = rows.unionByName(self.spark.table(r))
         first = rows.groupBy("g", "h").agg(F.min(F.struct("doc", "low", "high")).alias("f")).select("g", "h", "f.*")
-        merged = self._write(first)
+        heavy = self.spark.createDataFrame([(int(x),) for x in heavy_candidates(rows.select("g"), "g", HEAVY)], "g long")
+        merged = self._write(first, heavy)
         self.drop()
         self.runs = [merged]
 
@@ -306,3 +349,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+win AS (SELECT doc_id, s, list_slice(words, s, s + {WORDS - 1}) AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WORDS - 2})) AS s FROM d WHERE len(words) >= {WORDS})),
+dup AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, s + o AS p FROM dup, range({WORDS}) t(o)),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
+k AS (SELECT doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (WHERE gone.p IS NULL) AS kept FROM w LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

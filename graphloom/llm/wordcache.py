@@ -93,6 +93,22 @@ def current(key, make: Callable):
     """What make() gives, kept by this worker process until another key is asked for: a process that runs tasks of several
     operators one after the other holds the table of one of them."""
     if _CURRENT[0] != key:
-        _CURRENT[:] = [None, None]
+        release_memory()
         _CURRENT[:] = [key, make()]
     return _CURRENT[1]
+
+
+def release_memory() -> None:
+    """Drops what current() keeps, and gives memory that this process no longer uses back to the machine, where the C
+    library can do that. Tasks of operators without such tables begin with it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    _CURRENT[:] = [None, None]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
