@@ -25,7 +25,7 @@ from .wordcache import RowCache, current, sums
 ORDER = 5
 #: Bounds of what is learned from: documents of a language, and distinct words over all languages.
 MAX_DOCS, MAX_WORDS = 1000, 120_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 150_000
 #: A text is rejected if its cross-entropy is over so many times the usual one, and so many of the deviations that are
 #: usual at its length more. Texts of two languages that were learned stay below.
 REJECT_AT = (2.0, 4.0)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import batch, by_bytes, documents, materialize, ordered, restored
 from .components import connected_components
 from .filters import has, key_filter
+from .wordcache import release_memory
 
 SLOTS = 64
 #: Rows of a block, where keys or families are dealt out as pairs of blocks.
@@ -91,6 +92,7 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
     the signature SLOTS unsigned 16-bit minima; null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for b in batches:
             texts = b.column(2).to_pylist()
             for i, j in by_bytes(texts, 1 << 20):
@@ -137,6 +139,7 @@ def signature_keys(signed: DataFrame, chunks: int, wanted=None) -> DataFrame:
     """(key, doc) of rows (doc, signature), of all keys or of those that pass a filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         bits = None if wanted is None else wanted.value
         for b in batches:
             for i in range(0, b.num_rows, 4096):
@@ -156,8 +159,11 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(key_filter(wanted, "doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for b in batches:
-            yield b.filter(pa.array(has(bits.value, b.column(0).to_numpy(zero_copy_only=False))))
+            for i in range(0, b.num_rows, 1024):
+                some = b.slice(i, 1024)
+                yield some.filter(pa.array(has(bits.value, some.column(0).to_numpy(zero_copy_only=False))))
 
     return rows.select("doc", "text").mapInArrow(run, "doc long, text binary").join(wanted, "doc", "left_semi")
 
@@ -176,6 +182,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     """Those of pairs (a, b) whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         last, known = None, None
         for b in batches:
             one, two = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -198,12 +205,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """rows with columns block_a and block_b: a group of over BLOCK rows is dealt out as all pairs of its blocks; a row
-    is in as many pairs as there are blocks."""
-    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    """rows with a column part (group, a, b): a group of over BLOCK rows is dealt out as all pairs of its blocks, each a part
+    of its own; a row is in as many parts as there are blocks. part is one column, so that rows are dealt by it and not by
+    the group."""
+    counts = materialize(rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     placed = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return placed.withColumn("other", other).select(*rows.columns, F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
+    part = F.struct(F.col(group), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    return placed.withColumn("other", other).select(*rows.columns, part.alias("part"))
 
 
 class _Union:
@@ -294,7 +303,8 @@ def components_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
     chunks = chunks_for(percent)
     signed = materialize(signatures(rows, size), "signatures")
     digests = signed.where("n_shingles > 0")
-    first = digests.groupBy("d1", "d2", "n_shingles").agg(F.min("doc").alias("rep"))
+    # Small tables on one side of a join are written first, so that the join can split the other side's large groups.
+    first = materialize(digests.groupBy("d1", "d2", "n_shingles").agg(F.min("doc").alias("rep")), "representatives")
     members = digests.join(first, ["d1", "d2", "n_shingles"]).select("doc", "rep")
     # One document of each distinct set, from here on.
     sets = materialize(digests.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "signature"), "sets")
@@ -302,12 +312,12 @@ def components_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
     shared = signature_keys(sets, chunks).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
     wanted = spark.sparkContext.broadcast(key_filter(shared, "key"))
     keyed = materialize(signature_keys(sets, chunks, wanted), "keys")
-    hubs = keyed.groupBy("key").agg(F.min("doc").alias("a"))
-    pairs = keyed.join(hubs, "key").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
+    hubs = materialize(keyed.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "hubs")
+    pairs = materialize(keyed.join(hubs, "key").where("a < doc").select("a", F.col("doc").alias("b")).distinct(), "pairs")
     sa, sb = (sets.select(F.col("doc").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
     pairs = materialize(_near_pairs(pairs.join(sa, "a").join(sb, "b"), _most(chunks)), "pairs")
     ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    links = materialize(_confirmed(pairs, materialize(_texts_of(rows, ends), "texts"), size, percent), "links")
+    links = materialize(_confirmed(pairs, materialize(_texts_of(rows, materialize(ends, "ends")), "texts"), size, percent), "links")
     parts = connected_components(links)
     rest = _rest_links(rows, sets, keyed, parts, size, percent)
     if not rest.isEmpty():
@@ -320,6 +330,7 @@ def _near_pairs(pairs: DataFrame, most: int) -> DataFrame:
     """Those of pairs (a, b, sa, sb) whose signatures differ in at most `most` slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for b in batches:
             one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, SLOTS) for i in (2, 3))
             yield b.select([0, 1]).filter(pa.array((one != two).sum(1) <= most))
@@ -331,15 +342,29 @@ def _rest_links(rows: DataFrame, sets: DataFrame, keyed: DataFrame, parts: DataF
     """Links between different components, from keys whose documents are of several."""
     placed = keyed.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    held = placed.join(open_keys, "key", "left_semi").join(sets, "doc").select("key", "doc", "component", "signature")
-    families = materialize(_in_blocks(held, "key").groupBy("key", "block_a", "block_b").applyInArrow(_candidate_families(_most(chunks_for(percent))), "a long, b long").distinct(), "candidates")
+    held = materialize(placed.join(open_keys, "key", "left_semi").join(sets, "doc").select("key", "doc", "component", "signature"), "open")
+    families = materialize(_in_blocks(held, "key").groupBy("part").applyInArrow(_candidate_families(_most(chunks_for(percent))), "a long, b long").distinct(), "candidates")
     if families.isEmpty():
         return families
     whole = materialize(connected_components(families).select("doc", F.col("component").alias("family")), "families")
     texts = _texts_of(rows, whole.select("doc"))
     full = whole.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc")).join(sets, "doc").join(texts, "doc")
-    return materialize(_in_blocks(full.select("family", "doc", "component", "signature", "text"), "family").groupBy("family", "block_a", "block_b").applyInArrow(_family_links(size, percent), "a long, b long"), "rest")
+    full = materialize(full.select("family", "doc", "component", "signature", "text"), "family-texts")
+    return materialize(_in_blocks(full, "family").groupBy("part").applyInArrow(_family_links(size, percent), "a long, b long"), "rest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(words, i, i + 2) AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
