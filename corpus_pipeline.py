@@ -10,11 +10,13 @@ from graphloom.llm.common import documents, materialize
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Models are learned from documents with a language; documents that they reject go. Where none has a language, all
-    stay."""
-    if docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).isEmpty():
+    """Models are learned from documents with a language; documents that they reject go. Where there is nothing
+    to learn, all stay."""
+    try:
+        models = language_id.learn(docs, F.lit(True))
+    except language_id.NothingToLearn:
         return docs
-    return language_id.keep_identified(docs, language_id.learn(docs, F.lit(True)))
+    return language_id.keep_identified(docs, models)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

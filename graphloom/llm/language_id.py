@@ -3,8 +3,8 @@
 A text is read as lower-case words of letters; a character is predicted from those before it in its word, the space in
 front included. Each language has a model of order ORDER: the highest order from counts, lower ones from continuation
 counts, each interpolated with the next lower by the mass that absolute discounting took. The models are kept as sorted
-arrays of n-gram hashes with a column for each language: the interpolated log probability of every n-gram that any
-language has, and the log back-off weight of every context. A text gets the language of the lowest cross-entropy for a
+arrays of n-gram hashes of each language: the interpolated log probability of every n-gram that it has, and the log
+back-off weight of every context. A text gets the language of the lowest cross-entropy for a
 character. One whose cross-entropy is far above what texts of its length had in training is rejected.
 """
 
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, by_bytes, documents
+from .common import batch, by_bytes, documents, materialize
 from .wordcache import RowCache, current, sums
 
 ORDER = 5
-#: Bounds of what is learned from: documents of a language, and distinct words over all languages.
-MAX_DOCS, MAX_WORDS = 1000, 120_000
+#: What is learned from: documents of a language.
+MAX_DOCS = 1000
 CACHED_WORDS = 150_000
 #: A text is rejected if its cross-entropy is over so many times the usual one, and so many of the deviations that are
 #: usual at its length more. Texts of two languages that were learned stay below.
@@ -49,13 +49,22 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[n
     return owner, place, code, grams
 
 
+class NothingToLearn(ValueError):
+    """No text with a language and a letter."""
+
+
 @dataclass
 class LanguageModels:
+    """The n-grams of an order and their contexts stand language after language, each language's sorted; gram_ends and
+    context_ends have the bounds, so that memory goes with the n-grams that languages have."""
+
     langs: list[str]
-    grams: list[np.ndarray]  # of orders 1..ORDER: sorted hashes
-    logp: list[np.ndarray]  # [n-gram, language]
-    contexts: list[np.ndarray]  # of lengths 1..ORDER-1: sorted hashes
-    backoff: list[np.ndarray]
+    grams: list[np.ndarray]  # of orders 1..ORDER: hashes
+    logp: list[np.ndarray]  # [n-gram, 1]
+    gram_ends: list[np.ndarray]  # [language + 1]
+    contexts: list[np.ndarray]  # of lengths 1..ORDER-1: hashes
+    backoff: list[np.ndarray]  # [context, 1]
+    context_ends: list[np.ndarray]
     unseen: np.ndarray  # log probability of a character that no language has
     mean: np.ndarray  # cross-entropy of a language's texts
     spread: np.ndarray  # [language, 2]: deviation is sqrt(a² + b² / characters)
@@ -71,30 +80,37 @@ class LanguageModels:
             return out
         owner, place, _, grams = _grams(parts)
         at = np.flatnonzero(place > 0)
-        score = np.zeros((len(at), len(self.langs)))
+        word = np.array(which)[owner[at]]
+        for j in range(len(self.langs)):
+            out[:, j] = np.bincount(word, self._scores(j, at, place, grams), len(words))
+        out[:, -1] = np.bincount(word, minlength=len(words))
+        return out
+
+    def _scores(self, j: int, at: np.ndarray, place: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+        """Log probabilities in a language of the characters at these places."""
+        score = np.zeros(len(at))
         todo = np.arange(len(at))
         for k in range(ORDER, 0, -1):
             fits = todo if k == 1 else todo[place[at[todo]] >= k - 1]
-            hashes = grams[k - 1][at[fits]]
-            found = _find(self.grams[k - 1], hashes)
+            a, b = self.gram_ends[k - 1][j : j + 2]
+            found = _find(self.grams[k - 1][a:b], grams[k - 1][at[fits]])
             hit = found >= 0
-            score[fits[hit]] += self.logp[k - 1][found[hit]]
+            score[fits[hit]] += self.logp[k - 1][a:b, 0][found[hit]]
             todo = np.setdiff1d(todo, fits[hit], assume_unique=True)
             if k > 1:  # the context's k - 1 characters end one before
                 miss = fits[~hit]
-                found = _find(self.contexts[k - 2], grams[k - 2][at[miss] - 1])
+                a, b = self.context_ends[k - 2][j : j + 2]
+                found = _find(self.contexts[k - 2][a:b], grams[k - 2][at[miss] - 1])
                 hit = found >= 0
-                score[miss[hit]] += self.backoff[k - 2][found[hit]]
-        score[todo] += self.unseen
-        word = np.array(which)[owner[at]]
-        for j in range(len(self.langs)):
-            out[:, j] = np.bincount(word, score[:, j], len(words))
-        out[:, -1] = np.bincount(word, minlength=len(words))
-        return out
+                score[miss[hit]] += self.backoff[k - 2][a:b, 0][found[hit]]
+        score[todo] += self.unseen[j]
+        return score
 
     def decide(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From texts' sums of words(): language numbers (-1 without letters), confidence, and whether it is rejected."""
         n = total[:, -1]
+        if not self.langs:
+            return np.full(len(n), -1), np.zeros(len(n)), n == 0
         entropy = -total[:, :-1] / np.maximum(n, 1)[:, None]
         best = entropy.argmin(1)
         low = entropy[np.arange(len(n)), best]
@@ -113,79 +129,83 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _counts(words: list[str], times: np.ndarray) -> list[np.ndarray]:
+    """The distinct n-grams of words that come so many times, as columns: order, hash, hash without the last character,
+    hash without the first one, whether it begins with the word, how often it comes."""
+    owner, place, _, grams = _grams(words)
+    out = []
+    for k in range(1, ORDER + 1):
+        at = np.flatnonzero((place > 0) & (place >= k - 1))
+        key, first, inv = np.unique(grams[k - 1][at], return_index=True, return_inverse=True)
+        n, first = np.bincount(inv, times[owner[at]], len(key)).astype(np.int64), at[first]
+        shorter = (grams[k - 2][first - 1], grams[k - 2][first]) if k > 1 else (np.zeros_like(key), np.zeros_like(key))
+        out.append((np.full(len(key), k), key, *shorter, (place[first] == k - 1) & (k > 1), n))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 def fit(words: list[tuple[str, str, int]], samples: list[tuple[str, np.ndarray | None, str]] = ()) -> LanguageModels:
     """From (language, word, count) and, for calibration, samples (language, None, text)."""
-    langs = sorted({x[0] for x in words})
-    if not langs:
-        raise ValueError("no labelled documents to learn languages from")
-    n_langs = len(langs)
-    per = []
-    for lang in langs:
+    per = {}
+    for lang in sorted({x[0] for x in words}):
         own = [(w, c) for x, w, c in words if x == lang]
-        owner, place, _, grams = _grams([w for w, _ in own])
-        times = np.array([c for _, c in own], np.float64)[owner]
+        per[lang] = _counts([w for w, _ in own], np.array([c for _, c in own]))
+    return fit_counts(per, samples)
+
+
+def fit_counts(per: dict[str, list[np.ndarray]], samples: list[tuple[str, np.ndarray | None, str]] = ()) -> LanguageModels:
+    """From the columns of _counts() of each language."""
+    langs = sorted(per)
+    if not langs:
+        raise NothingToLearn("no labelled documents to learn languages from")
+    chars = len(np.unique(np.concatenate([c[1][c[0] == 1] for c in per.values()])))
+    grams, logp, contexts, backoff = ([[] for _ in range(ORDER)] for _ in range(4))
+    unseen = np.zeros(len(langs))
+    for j, lang in enumerate(langs):
         orders = []
         for k in range(1, ORDER + 1):
-            ok = (place > 0) & (place >= k - 1)
-            h, ctx = grams[k - 1][ok], grams[k - 2][np.flatnonzero(ok) - 1] if k > 1 else np.zeros(ok.sum(), np.uint64)
-            key, first, inv = np.unique(h, return_index=True, return_inverse=True)
+            own = np.flatnonzero(per[lang][0] == k)
+            own = own[np.argsort(per[lang][1][own])]
+            orders.append([c[own] for c in per[lang][1:]])
+        below = np.array([1.0 / (chars + 1)])
+        for k, (key, context, shorter, start, n) in enumerate(orders):
             # Continuation counts: of the distinct n-grams longer by one; an n-gram at the word's start has none longer,
             # so it keeps its count. The highest order has counts.
-            raw = np.bincount(inv, times[ok])
-            if k < ORDER:
-                longer = place[ok] >= k
-                which = np.unique(grams[k][ok][longer], return_index=True)[1]
-                count = np.bincount(inv[longer][which], minlength=len(key)).astype(np.float64)
-                start = np.bincount(inv[~longer], times[ok][~longer], len(key)) if k > 1 else 0
-                count = np.where(count > 0, count, start)
-            else:
-                count = raw
-            orders.append((key, count, ctx[first]))
-        per.append(orders)
-    grams = [np.unique(np.concatenate([p[k][0] for p in per])) for k in range(ORDER)]
-    contexts = [np.unique(np.concatenate([p[k][2] for p in per])) for k in range(1, ORDER)]
-    # The context of each n-gram, and the n-gram without its first character, in the joint arrays.
-    context_of = [np.zeros(len(g), np.int64) for g in grams]
-    lower_of = [np.zeros(len(g), np.int64) for g in grams]
-    for lang in langs:
-        owner, place, _, gr = _grams([w for x, w, _ in words if x == lang])
-        for k in range(2, ORDER + 1):
-            at = np.flatnonzero((place > 0) & (place >= k - 1))
-            i = _find(grams[k - 1], gr[k - 1][at])
-            context_of[k - 1][i] = _find(contexts[k - 2], gr[k - 2][at - 1])
-            lower_of[k - 1][i] = _find(grams[k - 2], gr[k - 2][at])
-    chars = len(grams[0])
-    logp, backoff = [], []
-    below = np.full((chars, n_langs), 1.0 / (chars + 1))
-    unseen = np.zeros(n_langs)
-    for k in range(ORDER):
-        value = np.zeros((len(grams[k]), n_langs))
-        weights = np.ones((1 if k == 0 else len(contexts[k - 1]), n_langs))
-        for j, orders in enumerate(per):
-            key, count, _ = orders[k]
-            i = _find(grams[k], key)
+            count = n.astype(np.float64)
+            if k + 1 < ORDER:
+                longer = _find(key, orders[k + 1][2])
+                more = np.bincount(longer[longer >= 0], minlength=len(key)).astype(np.float64)
+                count = np.where(more > 0, more, np.where(start, count, 0))
             once, twice = (count == 1).sum(), (count == 2).sum()
             d = once / (once + 2 * twice) if once and twice else 0.5
-            ctx = context_of[k][i] if k else np.zeros(len(i), np.int64)
-            total = np.bincount(ctx, count, len(weights))
-            value[i, j] = np.maximum(count - d, 0) / total[ctx]
-            there = total > 0
-            taken = np.bincount(ctx, np.minimum(count, d), len(weights))
-            weights[there, j] = np.maximum(taken[there] / total[there], 1e-6)
-        lower = below if k == 0 else below[lower_of[k]]
-        p = value + weights[np.zeros(len(grams[k]), np.int64) if k == 0 else context_of[k]] * lower
-        if k == 0:
-            unseen = np.log(weights[0] / (chars + 1))
-        else:
-            backoff.append(np.log(weights).astype(np.float32))
-        logp.append(np.log(p).astype(np.float32))
-        below = p
-    model = LanguageModels(langs, grams, logp, contexts, backoff, unseen, np.full(n_langs, np.inf), np.ones((n_langs, 2)), 1.0)
+            places, ctx = np.unique(context, return_inverse=True)
+            total = np.bincount(ctx, count, len(places))
+            weights = np.maximum(np.bincount(ctx, np.minimum(count, d), len(places)) / total, 1e-6)
+            lower = below[_find(orders[k - 1][0], shorter)] if k else below
+            p = np.maximum(count - d, 0) / total[ctx] + weights[ctx] * lower
+            if k == 0:
+                unseen[j] = np.log(weights[0] / (chars + 1))
+            else:
+                contexts[k].append(places)
+                backoff[k].append(np.log(weights).astype(np.float32)[:, None])
+            grams[k].append(key)
+            logp[k].append(np.log(p).astype(np.float32)[:, None])
+            below = p
+    ends = lambda parts: [np.cumsum([0, *map(len, p)]) for p in parts]
+    join = lambda parts: [np.concatenate(p) for p in parts]
+    model = LanguageModels(
+        langs, join(grams), join(logp), ends(grams), join(contexts[1:]), join(backoff[1:]), ends(contexts[1:]), unseen, np.full(len(langs), np.inf), np.ones((len(langs), 2)), 1.0
+    )
     return _calibrate(model, samples)
 
 
+def nothing_learned() -> LanguageModels:
+    """Models of no language: all texts are `und`, and only those without letters are rejected."""
+    return LanguageModels([], [], [], [], [], [], [], np.zeros(0), np.zeros(0), np.zeros((0, 2)), 1.0)
+
+
 def _calibrate(model: LanguageModels, samples) -> LanguageModels:
     """The usual cross-entropy by language, its deviation by length, and the scale that makes confidence fit accuracy."""
+    samples = [x for x in samples if x[0] in model.langs]  # a language may have no letters in what was learned from
     if not samples:
         return model
     totals = np.array([model.words([t]).sum(0) for _, _, t in samples])
@@ -216,38 +236,56 @@ def _calibrate(model: LanguageModels, samples) -> LanguageModels:
     return model
 
 
-def learn(docs: DataFrame, learned_from, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, id_col="doc_id", text_col="text", lang_col="lang") -> LanguageModels:
+def learn(docs: DataFrame, learned_from, max_docs: int = MAX_DOCS, id_col="doc_id", text_col="text", lang_col="lang") -> LanguageModels:
     """Models from a bounded sample, by hash of the id, of the rows where the condition `learned_from` holds and text and
-    language aren't null: about max_docs documents for each language, and of their distinct words the most frequent
-    max_words. A tenth of the sampled documents, up to 100 a language, serve for calibration."""
+    language aren't null: about max_docs documents for each language, with all their words. N-grams are counted in Spark;
+    the driver gets the distinct ones. A tenth of the sampled documents, up to 100 a language, serve for calibration."""
     rows = docs.where(learned_from & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not counts:
-        raise ValueError("no labelled documents to learn languages from")
+    counts = materialize(rows.groupBy("lang").count().withColumnRenamed("count", "of"), "languages")
+    rows = rows.join(counts, "lang")
     part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 24))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 24, int((1 << 24) * max_docs / n) + 1))])[F.col("lang")]
-    sample = rows.where(part < share)
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+    sample = rows.where(part < F.lit((1 << 24) * max_docs) / F.col("of") + 1)
+    each = max(1, min(100, max_docs // 10))
+    held = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.lit(1 << 24))
+    samples = [(r.lang, None, r.text) for r in rows.where((held < F.lit((1 << 24) * each) / F.col("of") + 1) & (F.length("text") < 200_000)).select("lang", "text").collect()]
+    return fit_counts(_gram_counts(sample), samples)
+
+
+def _gram_counts(sample: DataFrame) -> dict[str, list[np.ndarray]]:
+    """For each language the columns of _counts() of all words of (text, lang)."""
+    names = ("k", "gram", "context", "shorter", "start", "n")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+    schema = pa.schema([("lang", pa.string()), *zip(names, types, strict=True)])
+
+    def counted(seen: dict) -> Iterator[pa.RecordBatch]:
+        for lang, times in seen.items():
+            columns = [c.view(np.int64) if c.dtype == np.uint64 else c for c in _counts(list(times), np.array(list(times.values())))]
+            yield batch(schema, pa.array([lang] * len(columns[0])), *columns)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+        from collections import Counter, defaultdict
 
-        seen: Counter = Counter()
+        seen: dict = defaultdict(Counter)
+        size = 0
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in _LETTERS.findall(text.lower()))
-            if len(seen) > 200_000:
-                yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}, schema=schema)
-                seen.clear()
-        yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}, schema=schema)
-
-    words = sample.select("text", "lang").mapInArrow(split, "lang string, word string, n long").where(F.length("word") <= 40).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "lang", "word").limit(max_words).toArrow().to_pydict()
-    each = max(1, min(100, max_docs // 10))
-    held = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.lit(1 << 24))
-    few = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 24, int((1 << 24) * each / n) + 1))])[F.col("lang")]
-    samples = [(r.lang, None, r.text) for r in rows.where((held < few) & (F.length("text") < 200_000)).select("lang", "text").collect()]
-    return fit(list(zip(top["lang"], top["word"], top["n"], strict=True)), samples)
+                if words := _LETTERS.findall(text.lower()):
+                    seen[lang].update(words)
+                    size += len(text)
+                if size > 1 << 20:
+                    yield from counted(seen)
+                    seen.clear()
+                    size = 0
+        yield from counted(seen)
+
+    grams = sample.select("text", "lang").mapInArrow(split, "lang string, k long, gram long, context long, shorter long, start boolean, n long")
+    table = grams.groupBy("lang", "k", "gram").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.max("start").alias("start"), F.sum("n").alias("n")).toArrow()
+    which = table.column("lang").combine_chunks().dictionary_encode()
+    codes, columns = which.indices.to_numpy(), [table.column(c).to_numpy() for c in names]
+    columns = [c.view(np.uint64) if c_name in ("gram", "context", "shorter") else c for c_name, c in zip(names, columns, strict=True)]
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(which.dictionary) + 1))
+    return {lang: [c[order[ends[j] : ends[j + 1]]] for c in columns] for j, lang in enumerate(which.dictionary.to_pylist())}
 
 
 def _cache(models: LanguageModels) -> RowCache:
@@ -266,9 +304,9 @@ def _judged(cache: RowCache, models: LanguageModels, texts: list) -> Iterator[tu
 
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score, rejected. lang_pred is the language of the lowest cross-entropy, or `und` for a
-    null text and one without letters; these, and texts unlike all languages, are rejected. Ids may be null or repeat;
-    other columns aren't read."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by max_words
+    null text and one without letters; these, and texts unlike all languages, are rejected. Where no language was learned,
+    all are `und`. Ids may be null or repeat; other columns aren't read."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by max_docs a language
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +340,9 @@ def held_out(id_col: str = "doc_id", parts: int = 3, which: int = 1):
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    models = learn(docs, F.col("doc_id").isNotNull() & ~held_out())
+    try:
+        models = learn(docs, F.col("doc_id").isNotNull() & ~held_out())
+    except NothingToLearn:
+        models = nothing_learned()
     out = identify(docs, models)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -79,6 +79,41 @@ def test_learning_languages_from_nothing_is_an_error(docs_of):
         language_id.learn(docs_of([(1, "a", None)]), F.lit(True))
 
 
+def test_all_words_of_the_sample_count_whatever_their_language(docs_of):
+    """A language of few texts without spaces, one whose documents have no letters, and many frequent words of others."""
+    r = random.Random(4)
+    zh = ["".join(chr(0x4E00 + r.randrange(400)) for _ in range(60)) for _ in range(12)]
+    docs = docs_of(labelled() + [(1000 + k, t, "zh") for k, t in enumerate(zh)] + [(2000 + k, "12 34", "xx") for k in range(20)])
+    models = language_id.learn(docs, F.lit(True))
+    assert models.langs == ["de", "en", "fr", "zh"]
+    a, b = models.gram_ends[1][3:5]
+    assert b - a == len({(" " + t + " ")[k : k + 2] for t in zh for k in range(61)})
+    out = language_id.identify(docs.where("lang = 'zh'"), models).collect()
+    assert len(out) == 12 and all(x.lang_pred == "zh" for x in out)
+
+
+def test_counts_of_parts_make_the_model_of_the_whole(docs_of):
+    from collections import Counter
+
+    rows = labelled(6)
+    words = Counter((lang, w) for _, t, lang in rows for w in t.split())
+    whole = language_id.fit([(lang, w, n) for (lang, w), n in words.items()])
+    counts = language_id._gram_counts(docs_of(rows).select("text", "lang"))
+    spark_made = language_id.fit_counts(counts)
+    probe = ["ther", "schung", "eau", "qxz", "漢"]
+    assert np.allclose(whole.words(probe), spark_made.words(probe))
+
+
+def test_query_without_anything_to_learn(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    docs_of([(1, "some words", None), (2, "12 34", "en"), (3, None, "en")]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = language_id.query(spark, str(tmp_path)).collect()
+    assert len(out) == 3 and all(r.lang_pred == "und" and r.score == 0 for r in out)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert 1 in {r.doc_id for r in corpus_pipeline.identify_languages(spark, docs, "").collect()}
+
+
 def test_quality_of_held_out_texts(spark, docs_of):
     rows = [(k, prose(k, 80) if k % 2 else " ".join(w.upper() + "!!" for w in prose(k, 80).split())) for k in range(200)]
     docs = docs_of(rows + [(1000 + k, t) for k, (_, t) in enumerate(ODD)], extra=True)
