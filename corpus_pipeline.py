@@ -11,11 +11,11 @@ from graphloom.llm.common import documents, materialize
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Models are learned from documents with a language; documents that they reject go. Where there is nothing
-    to learn, all stay."""
+    to learn, only those without letters do."""
     try:
         models = language_id.learn(docs, F.lit(True))
     except language_id.NothingToLearn:
-        return docs
+        models = language_id.nothing_learned()
     return language_id.keep_identified(docs, models)
 
 

@@ -5,7 +5,8 @@ front included. Each language has a model of order ORDER: the highest order from
 counts, each interpolated with the next lower by the mass that absolute discounting took. The models are kept as sorted
 arrays of n-gram hashes of each language: the interpolated log probability of every n-gram that it has, and the log
 back-off weight of every context. A text gets the language of the lowest cross-entropy for a
-character. One whose cross-entropy is far above what texts of its length had in training is rejected.
+character. To reject texts, each word counts in the language where it is likeliest, so that those of two learned languages
+stay: one whose cross-entropy is then above what sampled texts kept out of training had at its length goes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, by_bytes, documents, materialize
@@ -26,9 +27,9 @@ ORDER = 5
 #: What is learned from: documents of a language.
 MAX_DOCS = 1000
 CACHED_WORDS = 150_000
-#: A text is rejected if its cross-entropy is over so many times the usual one, and so many of the deviations that are
-#: usual at its length more. Texts of two languages that were learned stay below.
-REJECT_AT = (2.0, 4.0)
+#: A text is rejected if it is more deviations from the usual than this quantile of the texts kept out of training, and than
+#: so many at least; N such texts leave room for 1 + FEW / N times that.
+KEPT, LEAST, FEW = 0.998, 3.0, 10
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -66,16 +67,17 @@ class LanguageModels:
     backoff: list[np.ndarray]  # [context, 1]
     context_ends: list[np.ndarray]
     unseen: np.ndarray  # log probability of a character that no language has
-    mean: np.ndarray  # cross-entropy of a language's texts
+    mean: np.ndarray  # cross-entropy of a language's texts, each word in its likeliest language
     spread: np.ndarray  # [language, 2]: deviation is sqrt(a² + b² / characters)
+    cut: float  # deviations from the mean at which a text is rejected
     scale: float  # of the confidence
 
     def words(self, words: list[str]) -> np.ndarray:
-        """For each word: log probability in each language, and how many characters were predicted. Other characters
-        than letters part words."""
+        """For each word: log probability in each language, the highest of them, and how many characters were predicted.
+        Other characters than letters part words."""
         parts = [p for w in words for p in _LETTERS.findall(w.lower())] if words else []
         which = [i for i, w in enumerate(words) for _ in _LETTERS.findall(w.lower())]
-        out = np.zeros((len(words), len(self.langs) + 1))
+        out = np.zeros((len(words), len(self.langs) + 2))
         if not parts:
             return out
         owner, place, _, grams = _grams(parts)
@@ -83,6 +85,8 @@ class LanguageModels:
         word = np.array(which)[owner[at]]
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(word, self._scores(j, at, place, grams), len(words))
+        if self.langs:
+            out[:, -2] = out[:, :-2].max(1)
         out[:, -1] = np.bincount(word, minlength=len(words))
         return out
 
@@ -111,13 +115,12 @@ class LanguageModels:
         n = total[:, -1]
         if not self.langs:
             return np.full(len(n), -1), np.zeros(len(n)), n == 0
-        entropy = -total[:, :-1] / np.maximum(n, 1)[:, None]
+        entropy = -total[:, :-2] / np.maximum(n, 1)[:, None]
         best = entropy.argmin(1)
         low = entropy[np.arange(len(n)), best]
         weight = np.exp(-np.minimum(np.sqrt(n)[:, None] * (entropy - low[:, None]) * self.scale, 700))
         score = np.where(n > 0, 1 / weight.sum(1), 0.0)
-        usual = np.sqrt(self.spread[best, 0] ** 2 + self.spread[best, 1] ** 2 / np.maximum(n, 1))
-        rejected = (n == 0) | (low > REJECT_AT[0] * self.mean[best] + REJECT_AT[1] * usual)
+        rejected = (n == 0) | (-total[:, -2] / np.maximum(n, 1) > self.mean[best] + self.cut * _deviation(self.spread[best], n))
         return np.where(n > 0, best, -1), score, rejected
 
 
@@ -193,37 +196,55 @@ def fit_counts(per: dict[str, list[np.ndarray]], samples: list[tuple[str, np.nda
     ends = lambda parts: [np.cumsum([0, *map(len, p)]) for p in parts]
     join = lambda parts: [np.concatenate(p) for p in parts]
     model = LanguageModels(
-        langs, join(grams), join(logp), ends(grams), join(contexts[1:]), join(backoff[1:]), ends(contexts[1:]), unseen, np.full(len(langs), np.inf), np.ones((len(langs), 2)), 1.0
+        langs, join(grams), join(logp), ends(grams), join(contexts[1:]), join(backoff[1:]), ends(contexts[1:]), unseen, np.full(len(langs), np.inf), np.ones((len(langs), 2)), LEAST, 1.0
     )
-    return _calibrate(model, samples)
+    return _calibrate(model, model, samples)
 
 
 def nothing_learned() -> LanguageModels:
     """Models of no language: all texts are `und`, and only those without letters are rejected."""
-    return LanguageModels([], [], [], [], [], [], [], np.zeros(0), np.zeros(0), np.zeros((0, 2)), 1.0)
+    return LanguageModels([], [], [], [], [], [], [], np.zeros(0), np.zeros(0), np.zeros((0, 2)), LEAST, 1.0)
 
 
-def _calibrate(model: LanguageModels, samples) -> LanguageModels:
-    """The usual cross-entropy by language, its deviation by length, and the scale that makes confidence fit accuracy."""
-    samples = [x for x in samples if x[0] in model.langs]  # a language may have no letters in what was learned from
+def _deviation(spread: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.sqrt(spread[:, 0] ** 2 + spread[:, 1] ** 2 / np.maximum(n, 1))
+
+
+def _spread(off: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """From squared distances and lengths: deviation at short lengths goes by 1 / characters."""
+    short = n <= np.median(n)
+    a2 = off[~short].mean() if not short.all() else 0.0
+    return np.sqrt([max(a2, 1e-4), max(np.mean(off[short] * n[short]), 1.0)])
+
+
+def _calibrate(model: LanguageModels, trial: LanguageModels, samples) -> LanguageModels:
+    """The usual cross-entropy by language, its deviation by length, the cut and the scale that makes confidence fit
+    accuracy, as the trial model has them, which wasn't learned from the samples. Where a language has under 5 samples, the
+    deviation is that of all; one without any has the highest usual cross-entropy of the others. With no sample at all
+    only texts without letters are rejected."""
+    samples = [x for x in samples if x[0] in trial.langs]  # a language may have no letters in what was learned from
     if not samples:
         return model
-    totals = np.array([model.words([t]).sum(0) for _, _, t in samples])
-    truth = np.array([model.langs.index(x) for x, _, _ in samples])
+    totals = np.array([trial.words(t.lower().split()).sum(0) for _, _, t in samples])
+    truth = np.array([trial.langs.index(x) for x, _, _ in samples])
     n = totals[:, -1]
     ok = n > 0
-    entropy = -totals[:, :-1] / np.maximum(n, 1)[:, None]
-    for j in range(len(model.langs)):
-        mine = ok & (truth == j) & (entropy.argmin(1) == j)
-        if mine.sum() < 5:
-            continue
-        h, m = entropy[mine, j], n[mine]
-        model.mean[j] = np.median(h)
-        off = (h - model.mean[j]) ** 2
-        short = m <= np.median(m)
-        b2 = np.mean(off[short] * m[short])  # deviation at short lengths goes by 1 / characters
-        a2 = np.mean(off[~short])
-        model.spread[j] = np.sqrt(max(a2, 1e-4)), np.sqrt(max(b2, 1.0))
+    if not ok.any():
+        return model
+    entropy = -totals[:, :-2] / np.maximum(n, 1)[:, None]
+    right = ok & (entropy.argmin(1) == truth)
+    right = right if right.any() else ok
+    h, m, lang = -totals[right, -2] / n[right], n[right], truth[right]
+    usual = {j: np.median(h[lang == j]) for j in np.unique(lang).tolist()}
+    off = (h - np.array([usual[j] for j in lang])) ** 2
+    pooled, apart = _spread(off, m), np.var(list(usual.values()))
+    spread = {j: _spread(off[lang == j], m[lang == j]) if (lang == j).sum() >= 5 else pooled for j in usual}
+    z = np.sqrt(off) * np.sign(h - np.array([usual[j] for j in lang])) / _deviation(np.array([spread[j] for j in lang]), m)
+    model.cut = max(float(np.quantile(z, KEPT)), LEAST) * (1 + FEW / len(z))
+    for i, name in enumerate(model.langs):
+        j = trial.langs.index(name) if name in trial.langs else -1
+        model.mean[i] = usual.get(j, max(usual.values()))
+        model.spread[i] = spread[j] if j in spread else np.sqrt(pooled**2 + [apart, 0])
     gap = np.sqrt(n)[:, None] * (entropy - entropy.min(1)[:, None])
     best = None
     for scale in (0.5, 1, 2, 4, 8):
@@ -239,16 +260,20 @@ def _calibrate(model: LanguageModels, samples) -> LanguageModels:
 def learn(docs: DataFrame, learned_from, max_docs: int = MAX_DOCS, id_col="doc_id", text_col="text", lang_col="lang") -> LanguageModels:
     """Models from a bounded sample, by hash of the id, of the rows where the condition `learned_from` holds and text and
     language aren't null: about max_docs documents for each language, with all their words. N-grams are counted in Spark;
-    the driver gets the distinct ones. A tenth of the sampled documents, up to 100 a language, serve for calibration."""
+    the driver gets the distinct ones. A fifth of each language's sampled documents, up to a tenth of max_docs and one at
+    least of two, is kept out of a trial model, on which they serve for calibration; the models returned have all."""
     rows = docs.where(learned_from & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = materialize(rows.groupBy("lang").count().withColumnRenamed("count", "of"), "languages")
-    rows = rows.join(counts, "lang")
     part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 24))
-    sample = rows.where(part < F.lit((1 << 24) * max_docs) / F.col("of") + 1)
-    each = max(1, min(100, max_docs // 10))
-    held = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.lit(1 << 24))
-    samples = [(r.lang, None, r.text) for r in rows.where((held < F.lit((1 << 24) * each) / F.col("of") + 1) & (F.length("text") < 200_000)).select("lang", "text").collect()]
-    return fit_counts(_gram_counts(sample), samples)
+    sample = rows.join(counts, "lang").where(part < F.lit((1 << 24) * max_docs) / F.col("of") + 1)
+    own = Window.partitionBy("lang")
+    few = F.when(F.col("m") > 1, F.greatest(F.lit(1), F.least(F.lit(max_docs // 10), F.floor(F.col("m") / 5)))).otherwise(0)
+    ranked = sample.withColumn("rank", F.row_number().over(own.orderBy(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.xxhash64("text")))).withColumn("m", F.count(F.lit(1)).over(own))
+    sample = materialize(ranked.select("text", "lang", (F.col("rank") <= few).alias("out")), "sample")
+    samples = [(r.lang, None, r.text) for r in sample.where(F.col("out") & (F.length("text") < 200_000)).select("lang", "text").collect()]
+    model = fit_counts(_gram_counts(sample))
+    trained = _gram_counts(sample.where(~F.col("out")))
+    return _calibrate(model, fit_counts(trained), samples) if trained else model
 
 
 def _gram_counts(sample: DataFrame) -> dict[str, list[np.ndarray]]:
@@ -291,7 +316,7 @@ def _gram_counts(sample: DataFrame) -> dict[str, list[np.ndarray]]:
 def _cache(models: LanguageModels) -> RowCache:
     """Of this worker process."""
     # The cache holds the models, so no others can have their id meanwhile.
-    return current(("languages", id(models)), lambda: RowCache(models.words, len(models.langs) + 1, CACHED_WORDS))
+    return current(("languages", id(models)), lambda: RowCache(models.words, len(models.langs) + 2, CACHED_WORDS))
 
 
 def _judged(cache: RowCache, models: LanguageModels, texts: list) -> Iterator[tuple]:

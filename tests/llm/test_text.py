@@ -92,6 +92,20 @@ def test_all_words_of_the_sample_count_whatever_their_language(docs_of):
     assert len(out) == 12 and all(x.lang_pred == "zh" for x in out)
 
 
+def test_texts_of_an_unlearned_language_are_rejected(docs_of):
+    """Also with a language of so few texts that it has no spread of its own, and unlike texts are nearest to it."""
+    make = lambda parts, seed, n=60: " ".join("".join(random.Random(f"{seed} {k} {parts}").choices(parts.split(), k=1 + k % 3)) for k in range(n))
+    few, other = "wa ji lo ku ze", "zy kwo pla mok dru vys ajn"
+    known = docs_of(labelled() + [(1000 + k, make(few, k, 12), "few") for k in range(3)])
+    models = language_id.learn(known, F.lit(True))
+    assert np.isfinite(models.mean).all() and len(models.langs) == 4
+    mixed = [f"{text_of('en', 500 + k, 30)} {text_of('de', 600 + k, 30)}" for k in range(20)]
+    rows = [(k, make(other, 50 + k)) for k in range(20)] + [(100 + k, text_of(lang, 700 + k)) for k, lang in enumerate(["en", "de", "fr"] * 10)] + [(200 + k, t) for k, t in enumerate(mixed)]
+    out = {r.doc_id: r.rejected for r in language_id.identify(docs_of(rows), models).collect()}
+    assert all(out[k] for k in range(20))
+    assert not any(r for k, r in out.items() if k >= 100)
+
+
 def test_counts_of_parts_make_the_model_of_the_whole(docs_of):
     from collections import Counter
 
@@ -111,7 +125,7 @@ def test_query_without_anything_to_learn(spark, docs_of, tmp_path):
     out = language_id.query(spark, str(tmp_path)).collect()
     assert len(out) == 3 and all(r.lang_pred == "und" and r.score == 0 for r in out)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    assert 1 in {r.doc_id for r in corpus_pipeline.identify_languages(spark, docs, "").collect()}
+    assert [r.doc_id for r in corpus_pipeline.identify_languages(spark, docs, "").collect()] == [1]
 
 
 def test_quality_of_held_out_texts(spark, docs_of):
