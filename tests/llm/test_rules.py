@@ -104,10 +104,61 @@ def test_files_round_trip(spark, tmp_path):
     plain = b"".join(warc.to_bytes(*r) for r in made)
     zipped = b"".join(gzip.compress(warc.to_bytes(*r)) for r in made)
     assert list(warc.parse(plain)) == list(warc.parse(zipped)) == made
-    assert len(list(warc.parse(plain[:-20]))) == len(made) - 1 and list(warc.parse(b"junk")) == []
+    for cut in (plain[:-20], zipped[:-20]):
+        wrong = []
+        assert list(warc.parse(cut, wrong)) == made[:-1] and len(wrong) >= 1
+    wrong = []
+    assert list(warc.parse(b"junk", wrong)) == [] and len(wrong) == 1
+    broken = b"".join(warc.to_bytes(*r) if k != 2 else warc.to_bytes({"WARC-Type": "response"}, b"x") + b"junk\r\n" for k, r in enumerate(made))
+    wrong = []
+    assert list(warc.parse(broken, wrong)) == made[:2] + made[3:] and len(wrong) == 1
     (tmp_path / "a.warc.gz").write_bytes(zipped)
     records = warc.read_warc(spark, str(tmp_path))
-    assert records.count() == 12 and warc.derivatives(records).count() == 8
+    assert records.count() == 12 and warc.derivatives(records).count() == 8 and records.where("damage IS NOT NULL").isEmpty()
+    (tmp_path / "b.warc").write_bytes(broken)
+    records = warc.read_warc(spark, str(tmp_path))
+    assert records.count() == 12 + 11 + 1 and records.where("damage IS NOT NULL").count() == 1
+    assert warc.derivatives(records).count() == 8 + 6
+
+
+def http(body, *headers, status="HTTP/1.1 200 OK"):
+    block = "\r\n".join([status, *headers]).encode() + b"\r\n\r\n" + body
+    return {"warc-type": "response", "warc-record-id": "<urn:x>", "WARC-TARGET-URI": "http://h.example/", "warc-date": "2020-01-01T00:00:00Z"}, block
+
+
+def conversion(*response):
+    made = warc.derive(*response)
+    assert [h["WARC-Type"] for h, _ in made][0] == "metadata" and all(h["WARC-Refers-To"] == "<urn:x>" for h, _ in made)
+    return made[1][1].decode() if len(made) > 1 else None
+
+
+def test_payload_encodings_and_types():
+    import gzip
+    import zlib
+
+    page = b"<p>hello <i>there</i>"
+    half = b"c\r\n" + page[:12] + b"\r\n%x;x=y\r\n" % len(page[12:]) + page[12:] + b"\r\n0\r\n\r\n"
+    for body, *headers in (
+        (page,), (half, "Transfer-Encoding: chunked"), (page, "transfer-encoding: chunked"), (gzip.compress(page), "Content-Encoding: gzip"), (page, "content-encoding: gzip"),
+        (zlib.compress(page), "Content-Encoding: deflate"), (zlib.compress(page, wbits=-15), "Content-Encoding: deflate"), (page, "Content-Type: application/xhtml+xml"), (page, "Content-Type: text/html; Charset=nope"),
+    ):
+        assert conversion(*http(body, *headers)) == "hello there", headers
+    both = gzip.compress(page)
+    both = b"%x\r\n" % len(both) + both + b"\r\n0\r\n\r\n"
+    assert conversion(*http(both, "Content-Encoding: gzip", "Transfer-Encoding: chunked")) == "hello there"
+    assert conversion(*http("<p>é".encode("latin-1"), "Content-Type: text/html; charset=ISO-8859-1")) == "é"
+    assert conversion(*http(b"a <b> c\n d", "Content-Type: text/plain")) == "a <b> c\n d"
+    for body, *headers in ((b"\x89PNG", "Content-Type: image/png"), (page, "Content-Encoding: br"), (b"a\0b", "Content-Type: text/html"), (b"\x89PNG\0",)):
+        assert conversion(*http(body, *headers)) is None
+
+
+def test_damaged_pages():
+    assert warc.plain_text("<a title='x>y' href=z>t</a> <p data-x=\"1>2\">u") == "t\nu"
+    assert warc.plain_text("<p>a<!-- note <b>x</b> trailing words") == "a" and warc.plain_text("<p>a<script>var secret=1;b") == "a"
+    assert warc.plain_text("a<!-->b<!-- - -->c<?x y>d<!doctype html>e</>f") == "a b cde</>f"
+    assert warc.plain_text("<p title=\"a>b<p>c") == "b\nc"  # a quote that is never closed
+    assert warc._scan("<a data-href='no' HREF = yes>x<a href=\"q?a=1&amp;b\"><a href><a name=x>").hrefs == ["yes", "q?a=1&amp;b"]
+    assert warc._scan("<title>a <b> c</TITLE ><title>d</title>").title == "a <b> c" and warc._scan("<title>a<p>b").title is None
 
 
 def test_derivatives_of_odd_pages(spark):
@@ -122,9 +173,10 @@ def test_pages_that_never_close_their_tags():
     import time
 
     began = time.monotonic()
-    for unit in ("<script>", "<p ", "<a ", "<!-- ", "<title>", "<a href=x <b", "</script ", "<", "&amp"):
+    for unit in ("<script>", "<p ", "<a ", "<!-- ", "<title>", "<a href=x <b", "</script ", "<", "&amp", "<a b='", "<a b=\">", "<a b='><a b=\"", "<?", "<a   ", "<title></p>", "=\"'"):
         page = unit * 60_000
         warc.plain_text(page)
+        warc.plain_text("<p>" + page + "<script>" + page + ">")
         warc.derive(*warc.response("http://h.example/", page.encode()))
     assert time.monotonic() - began < 60
     assert warc.plain_text("<p>a<script>b<p>c") == "a" and warc.plain_text("a <b") == "a <b"
