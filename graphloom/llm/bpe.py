@@ -1,10 +1,18 @@
-"""Vectorised BPE: all words of a batch are merged together on flat numpy arrays."""
+"""Vectorised BPE: all words of a batch are merged together on flat numpy arrays.
+
+Words of very many symbols (runs of spaces or dashes, text without spaces) are parted first: where no pair of the table
+can ever join two neighbours, and what is still long is merged window after window. Two results that stand side by side
+are the result of the whole if each two neighbouring tokens, merged anew by themselves, stay as they are: the first merge
+across tokens would be the first one of those two alone as well.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 NONE = np.int64(1 << 40)
+#: Words of more symbols are parted.
+LONG = 512
 
 
 class PairRanks:
@@ -26,6 +34,24 @@ class PairRanks:
             todo = todo[self.keys[slots[todo]] != keys[todo]]
             slots[todo] = (slots[todo] + 1) % len(self.keys)
         self.rank[slots], self.made[slots] = rank, made
+        left, right, made = (np.asarray(x, np.int64) for x in (left, right, made))
+        # Of each symbol the first and the last of those that it was made of, and how many these are.
+        self.first, self.last, self.size = np.arange(n := int(max(made.max(initial=0), left.max(initial=0), right.max(initial=0))) + 1), np.arange(n), np.ones(n, np.int64)
+        for _ in range(len(made) + 1):
+            before = self.size.copy()
+            self.first[made], self.last[made], self.size[made] = self.first[left], self.last[right], self.size[left] + self.size[right]
+            if (before == self.size).all():
+                break
+        self.joined = np.unique((self.last[left] << 32) | self.first[right])
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For symbols of words as they begin, side by side: whether no merge can ever join them."""
+        keys = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.joined, keys), max(len(self.joined) - 1, 0))
+        return self.joined[at] != keys if len(self.joined) else np.ones(len(keys), bool)
+
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        return np.where(symbols < len(self.size), self.size[np.minimum(symbols, len(self.size) - 1)], 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +72,65 @@ class PairRanks:
 
 def merge_words(symbols: np.ndarray, lengths: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
     """Merges each word's symbols until no pair of the table is left: the pair of the least rank first, the leftmost of
-    equals. symbols: those of all words, one word after the other. Returns the same for the merged words.
+    equals. symbols: those of all words, one word after the other. Returns the same for the merged words."""
+    lengths = np.asarray(lengths, np.int64)
+    if not (lengths > LONG).any():
+        return _rounds(symbols, lengths, pairs)
+    sym, word = np.asarray(symbols, np.int64), np.repeat(np.arange(len(lengths)), lengths)
+    new = np.concatenate(([True], word[1:] != word[:-1]))
+    inner = np.flatnonzero(~new & (lengths > LONG)[word])
+    new[inner[pairs.apart(sym[inner - 1], sym[inner])]] = True
+    starts = np.flatnonzero(new)
+    parts = np.diff(np.append(starts, len(sym)))
+    known: dict = {}
+    merged = {i: _by_windows(sym[starts[i] : starts[i] + parts[i]], pairs, known, LONG) for i in np.flatnonzero(parts > LONG).tolist()}
+    short = parts <= LONG
+    got, sizes = _rounds(sym[np.repeat(short, parts)], parts[short], pairs)
+    out_sizes = np.zeros(len(parts), np.int64)
+    out_sizes[short] = sizes
+    for i, m in merged.items():
+        out_sizes[i] = len(m)
+    out = np.empty(int(out_sizes.sum()), np.int64)
+    out[np.repeat(short, out_sizes)] = got
+    ends = np.cumsum(out_sizes)
+    for i, m in merged.items():
+        out[ends[i] - len(m) : ends[i]] = m
+    return out, np.bincount(word[starts], out_sizes, len(lengths)).astype(np.int64)
+
+
+def _by_windows(sym: np.ndarray, pairs: PairRanks, known: dict, size: int) -> np.ndarray:
+    """One long word, by windows of `size` symbols that begin where a token ends; of a window, the tokens of its first half
+    count. known remembers windows and pairs of tokens, so that runs of one symbol cost a look-up for each window. Where
+    two tokens don't stand side by side, windows are made twice as large."""
+
+    def merged(part: np.ndarray) -> np.ndarray:
+        key = part.tobytes()
+        if key not in known:
+            if len(known) > 4096:
+                known.clear()
+            known[key] = _rounds(part, np.array([len(part)]), pairs)[0]
+        return known[key]
+
+    if size >= len(sym):
+        return merged(sym)
+    out: list[np.ndarray] = []
+    at = last = 0
+    while at < len(sym):
+        got = merged(sym[at : at + size])
+        if at + size < len(sym):
+            got = got[: max(1, int(np.searchsorted(np.cumsum(pairs.sizes(got)), size // 2, "right")))]
+        ends = at + np.cumsum(pairs.sizes(got))
+        if out:
+            two = merged(sym[last : ends[0]])
+            if len(two) != 2 or two[0] != out[-1][-1] or two[1] != got[0]:
+                return _by_windows(sym, pairs, known, 2 * size)
+        out.append(got)
+        last, at = int(ends[-2]) if len(ends) > 1 else at, int(ends[-1])
+    return np.concatenate(out)
+
+
+def _rounds(symbols: np.ndarray, lengths: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """merge_words() in rounds.
 
     In a round each word merges all places of its least rank at once (of overlapping ones, every second from the left).
     Where that could make a pair of no greater rank, which would come before the later places, the word merges its
@@ -54,7 +138,7 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, pairs: PairRanks) -> t
     """
     n_words = len(lengths)
     out_lengths = np.array(lengths, np.int64)
-    sym, word = np.asarray(symbols, np.int64), np.repeat(np.arange(n_words), lengths)
+    sym, word = np.array(symbols, np.int64), np.repeat(np.arange(n_words), lengths)
     done: list[tuple[np.ndarray, np.ndarray]] = []
 
     def ranked(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

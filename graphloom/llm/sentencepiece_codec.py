@@ -61,7 +61,11 @@ class PieceModel:
         symbol = normal | {c: self.unknown + ord(c) for c in part}
         self.chars = np.where(self.chars < 0, self.unknown + np.arange(0x110000), self.chars)
         scores = np.unique(-np.array([p.score for p in pieces], np.float32), return_inverse=True)[1]
-        rows = [(symbol[p[:k]], symbol[p[k:]], scores[i], i) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        rows, made = [], {p for p in symbol if len(p) == 1}
+        for p in sorted(normal, key=len):  # pieces that no merges make are no parts of others
+            splits = [k for k in range(1, len(p)) if p[:k] in made and p[k:] in made]
+            rows += [(symbol[p[:k]], symbol[p[k:]], scores[normal[p]], normal[p]) for k in splits]
+            made |= {p} if splits else set()
         self.pairs = PairRanks(*zip(*rows, strict=True))
         #: What a piece adds to the decoded text.
         self.bytes = [bytes([int(p.piece[1:-1], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else p.piece.replace(MARK, " ").encode() for p in pieces]

@@ -43,6 +43,13 @@ def test_word_ids_are_the_librarys():
         assert ids == w.library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_ids_of_long_runs_are_the_librarys():
+    r, w = random.Random(4), WordBpe(packing.default_tokenizer())
+    texts = [unit * n for unit in ("-", "=", "a", "ab", "ha", "é", "=-", "...", "7") for n in (513, 2049, 5003)] + ["".join(r.choice("abcdefgh") for _ in range(3000)), "-" * 200_000]
+    for t in texts:
+        assert np.frombuffer(w.encode([t])[0], "<u4").tolist() == w.library.encode(t, add_special_tokens=False).ids, (t[:20], len(t))
+
+
 def test_packed_documents(docs_of):
     library = WordBpe(packing.default_tokenizer()).library
     rows = ODD + [(100 + k, "some words " * k) for k in range(40)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_id, quality_classifier, sentencepiece_codec
+from graphloom.llm import bpe, language_id, quality_classifier, sentencepiece_codec
 from graphloom.llm.bpe import PairRanks, merge_words
 from graphloom.llm.sentencepiece_codec import PieceModel, default_model
 
@@ -156,7 +156,9 @@ def slow_merge(symbols, table):
         s[i : i + 2] = [table[s[i], s[i + 1]][1]]
 
 
-def test_merge_rounds_against_one_by_one():
+@pytest.mark.parametrize("long", [512, 6])
+def test_merge_rounds_against_one_by_one(monkeypatch, long):
+    monkeypatch.setattr(bpe, "LONG", long)
     r = random.Random(5)
     for _ in range(200):
         table, n = {}, 4
@@ -166,7 +168,7 @@ def test_merge_rounds_against_one_by_one():
                 table[pair] = r.randrange(6), n  # ranks repeat and may fall for longer symbols
                 n += 1
         pairs = PairRanks([a for a, _ in table], [b for _, b in table], [v[0] for v in table.values()], [v[1] for v in table.values()])
-        words = [[r.randrange(4) for _ in range(r.randrange(1, 30))] for _ in range(20)]
+        words = [[r.randrange(4) for _ in range(r.randrange(1, 30))] for _ in range(20)] + [[r.randrange(4)] * r.randrange(1, 60) for _ in range(5)] + [[r.randrange(4), r.randrange(4)] * 20]
         got, lengths = merge_words(np.array(sum(words, [])), np.array([len(w) for w in words]), pairs)
         want = [slow_merge(w, table) for w in words]
         assert lengths.tolist() == [len(w) for w in want] and got.tolist() == sum(want, [])
@@ -188,6 +190,21 @@ def test_pieces_are_the_librarys():
         assert m.decode([*m.encode(t), m.end_id]) == sp.decode([*sp.encode(t), 2]), repr(t)
 
 
+def test_pieces_of_long_runs_are_the_librarys():
+    import time
+
+    r, sp, m = random.Random(3), library(), PieceModel(default_model())
+    texts = [unit * n for unit in (" ", "-", "=", "a", "ab", "ha", "\n", "漢", "é", "  x", "=-", "the", "...", "😀") for n in (513, 1000, 2049, 5003)]
+    texts += ["".join(r.choice("abcdefgh") for _ in range(4000)), "".join(r.choice("=-_ ") for _ in range(6000)), " " * 3000 + "word" + "-" * 3000 + "x" * 2500]
+    texts += ["".join(unit * r.randrange(1, 700) for unit in r.choices([" ", "-", "=", "a", "he", "x"], k=12)) for _ in range(10)]
+    for t in texts:
+        assert m.encode(t) == sp.encode(t), (t[:20], len(t))
+    began = time.monotonic()
+    for unit in (" ", "-", "a", "="):
+        assert m.encode(unit * 1_000_000) == sp.encode(unit * 1_000_000)
+    assert time.monotonic() - began < 30
+
+
 def test_piece_digests(docs_of):
     sp = library()
     out = sentencepiece_codec.round_trip_digests(docs_of(ODD, extra=True), default_model()).collect()
