@@ -44,7 +44,18 @@ def test_rules_verdicts(docs_of):
     out = {r.doc_id: r for r in quality_rules.apply_rules(docs_of(hosted())).collect()}
     assert all(out[k].kept and out[k].n_removed_words == 20 for k in range(30))
     assert all(not out[100 + k].kept for k in range(1, 10, 2)) and all(out[100 + k].kept for k in range(0, 10, 2))
-    assert all(out[200 + k].kept for k in range(40))  # copies of one text count once
+    assert not any(out[200 + k].kept for k in range(40))  # documents count, so copies make their lines frequent
+
+
+def test_rules_limits_of_hosts(docs_of):
+    """A tiny host has too few documents to tell; in a very large one a fixed number of documents is enough."""
+    line = "the line of the host"
+    rows = [(k, f"{line}\n{prose(k, 2)}", "en", "tiny") for k in range(20)] + [(100 + k, f"{line}\n{prose(k, 2)}" if k < 25 else prose(k, 12), "en", "small") for k in range(60)]
+    rows += [(1000 + k, f"{line}\n{prose(k, 2)}" if k < 31 else prose(k, 12), "en", "hot") for k in range(4000)]
+    out = {r.doc_id: r.n_removed_words for r in quality_rules.apply_rules(docs_of(rows)).where("n_removed_words > 0 OR doc_id < 100").collect()}
+    assert {i for i, n in out.items() if n} == {100 + k for k in range(25)} and len(out) == 45
+    out = quality_rules.apply_rules(docs_of(rows), limits=(20, 30)).where("n_removed_words > 0")
+    assert {r.doc_id for r in out.collect()} == {100 + k for k in range(25)} | {1000 + k for k in range(31)}
 
 
 def test_rules_of_odd_rows(docs_of):
