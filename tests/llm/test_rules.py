@@ -83,6 +83,25 @@ def test_templates_with_variable_fields_recur(docs_of):
     assert all(out[200 + k].n_dropped == 0 for k in range(30))
 
 
+@pytest.mark.parametrize("times", [1, 10, 40])
+def test_templates_are_the_same_as_data_grow(docs_of, times):
+    """Fields whose values recur ever more often stay fields; short lines and several templates of one leaf are found."""
+    rows = []
+    for k in range(60 * times):
+        lines = [f"Posted on the blog by {'abcdefghijklmnopqrstuvwxyz'[k % 26]}name in {'uvwxyz'[k * 7 % 6]}section", "Subscribe to our newsletter", "Home", f"Page {k % 9} of 12", f"12:0{k % 10} 2024 INFO " + ("user logged in from somewhere", "disk is full on volume", "job has ended without errors")[k % 3] + f" {k}"]
+        rows.append((k, "\n".join([*lines, prose(k, 9, [f"w{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]).translate(str.maketrans("", "", "0123456789"))])))
+    out = line_dedup.drop_recurring_lines(docs_of(rows)).collect()
+    assert {r.n_dropped for r in out} == {5} and all(len(r.kept_text.split("\n")) == 1 for r in out)
+
+
+def test_templates_need_no_broadcast(spark, docs_of):
+    found = []
+    for size in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        found.append(sorted(map(tuple, line_dedup.drop_recurring_lines(docs_of(logs())).collect())))
+    assert found[0] == found[1]
+
+
 def test_templates_of_odd_rows(docs_of):
     assert line_dedup.drop_recurring_lines(docs_of(ODD, extra=True)).count() == len(ODD)
     assert line_dedup.drop_recurring_lines(docs_of([])).count() == 0
