@@ -1,44 +1,19 @@
-"""What the text operators share: the shared folder, materialised tables, words and Arrow batches."""
+"""What the text operators share: words, Arrow batches and row numbers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import materialize, scratch_path
+
 #: What separates words, as a Java or RE2 character class. bytes.split() splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session gets a temporary folder of its own; any other session is an error, since a
-    folder of one machine would lose rows there.
-    """
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts the lineage: later jobs start from files
-    that survive the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -90,3 +65,6 @@ def ordered(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) ->
 def restored(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The columns of docs from rows that ordered(docs, ..., rest=True) made."""
     return rows.select(*[F.col("text").cast("string").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])
+
+
+__all__ = ["SPACE", "batch", "by_bytes", "documents", "hex_sha256", "materialize", "ordered", "restored", "scratch_path", "unique_ids"]

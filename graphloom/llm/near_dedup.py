@@ -9,9 +9,9 @@ turn, so all pairs under the threshold share a key. For documents whose sets hav
 Documents of equal sets are one from the start. Then every document of a key is held against the key's first one
 (linear in rows, however many share the key); candidates are confirmed on the full sets, and links make components. Only
 in keys whose documents are still of several components all pairs across these are compared, by signature within a
-task. Documents that are candidates there form families; a family's documents are confirmed on the full sets in one
-task, where what is connected needs no more comparing. Families and keys with very many documents are dealt out as pairs
-of blocks.
+task. Documents that are candidates there form families. Keys and families are dealt out as pairs of blocks of ids and
+signatures, families by their sets' sizes too; the texts of those documents that have a candidate of another component in
+a pair of blocks follow, and their full sets are compared as rows of a matrix.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from .filters import has, key_filter
 from .wordcache import release_memory
 
 SLOTS = 64
-#: Rows of a block, where keys or families are dealt out as pairs of blocks.
-BLOCK = 2000
+#: Rows of a block, where keys are dealt out as pairs of blocks and hubs' documents as parts; those of a family's block, and
+#: about how many shingles it has at most.
+BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 2000, 400, 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _RNG = np.random.default_rng(20240229)
 _FACTORS = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,9 +170,10 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets that aren't empty."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -179,40 +181,61 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar."""
+    """Those of pairs (a, b), a table, whose sets are similar. The pairs of one a are dealt out in parts of BLOCK, and a's
+    text comes once for each part, before the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        last, known = None, None
+        known = None
         for b in batches:
-            one, two = b.column(0).to_pylist(), b.column(1).to_pylist()
-            hub, other = b.column(2), b.column(3).to_pylist()
+            hubs, others, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             links = []
-            for i, j in by_bytes(other):
-                sets, counts = shingle_sets(_split(other[i:j]), size)
+            for i, j in by_bytes(texts):
+                sets, counts = shingle_sets(_split(texts[i:j]), size)
                 ends = np.cumsum(counts)
                 for k in range(i, j):
-                    if one[k] != last:
-                        last, known = one[k], shingle_sets(_split([hub[k].as_py()]), size)[0]
-                    if _similar(known, sets[ends[k - i] - counts[k - i] : ends[k - i]], percent):
-                        links.append((one[k], two[k]))
+                    own = sets[ends[k - i] - counts[k - i] : ends[k - i]]
+                    if others[k] is None:
+                        known = own.copy()
+                    elif _similar(known, own, percent):
+                        links.append((hubs[k], others[k]))
             if links:
                 yield batch(_LINKS, *zip(*links, strict=True))
 
-    a = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    parts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")
+    others = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    rows = others.unionByName(hubs).withColumn("doc", F.coalesce("b", "a")).join(texts, "doc")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text").mapInArrow(run, "a long, b long")
+
+
+_PART = "struct<g:bigint,a:int,b:int>"
 
 
-def _in_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """rows with a column part (group, a, b): a group of over BLOCK rows is dealt out as all pairs of its blocks, each a part
-    of its own; a row is in as many parts as there are blocks. part is one column, so that rows are dealt by it and not by
-    the group."""
-    counts = materialize(rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+def _in_blocks(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """rows with columns block and part (g, a, b): a group is dealt out as all pairs of its blocks, each a part of its own;
+    a row is in as many parts as there are blocks, whose number `blocks` is an aggregate. part is one column, so that rows
+    are dealt by it and not by the group."""
+    counts = materialize(rows.groupBy(group).agg(F.greatest(F.lit(1), blocks).cast("int").alias("blocks")), "blocks")
     placed = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    part = F.struct(F.col(group), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    return placed.withColumn("other", other).select(*rows.columns, part.alias("part"))
+    part = F.struct(F.col(group).alias("g"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    return placed.withColumn("other", other).select(*rows.columns, "block", part.cast(_PART).alias("part"))
+
+
+def _near_rows(table: pa.Table, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one part's rows (doc, component, signature, block, part): each row and those behind it that are its candidates and
+    of another component. In a part of two blocks only rows of different blocks are compared; a part of one has the rest."""
+    comp, block = table["component"].to_numpy(), table["block"].to_numpy()
+    signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)
+    two = table["part"][0].as_py() if len(comp) else None
+    across = bool(two) and two["a"] != two["b"]
+    for i in range(len(comp) - 1):
+        others = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) | (not across))) + i + 1
+        if len(others):
+            near = others[(signed[others] != signed[i]).sum(1) <= most]
+            if len(near):
+                yield i, near
 
 
 class _Union:
@@ -230,48 +253,66 @@ class _Union:
 
 
 def _candidate_families(most: int):
-    return lambda table: _families(table, most)
-
-
-def _families(table: pa.Table, most: int) -> pa.Table:
-    """Of one key's documents (key, doc, component, signature, ...): (a, b) for each document that is a candidate of one
-    of another component, b being the first of all it is connected with by candidates."""
-    doc, comp = table["doc"].to_numpy(), table["component"].to_numpy()
-    order = np.argsort(doc)
-    doc, comp = doc[order], comp[order]
-    signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)[order]
-    sets, flagged = _Union(len(doc)), np.zeros(len(doc), bool)
-    for i in range(len(doc) - 1):
-        near = np.flatnonzero(((signed[i + 1 :] != signed[i]).sum(1) <= most) & (comp[i + 1 :] != comp[i])) + i + 1
-        if len(near):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one part of a key: (a, b) for each document that is a candidate of one of another component, b being the first
+        of all it is connected with by candidates."""
+        table = table.sort_by("doc")
+        doc = table["doc"].to_numpy()
+        sets, flagged = _Union(len(doc)), np.zeros(len(doc), bool)
+        for i, near in _near_rows(table, most):
             flagged[i] = flagged[near] = True
             for j in near.tolist():
                 sets.join(i, j)
-    rows = np.flatnonzero(flagged)
-    return pa.table({"a": doc[rows], "b": doc[[sets.root(i) for i in rows.tolist()]] if len(rows) else doc[rows]}, _LINKS)
+        rows = np.flatnonzero(flagged)
+        return pa.table({"a": doc[rows], "b": doc[[sets.root(i) for i in rows.tolist()]] if len(rows) else doc[rows]}, _LINKS)
 
+    return run
 
-def _family_links(size: int, percent: int):
-    most = _most(chunks_for(percent))
 
+def _open_rows(most: int):
     def run(table: pa.Table) -> pa.Table:
-        """Links among one family's documents (doc, component, signature, text, ...) that join different components."""
-        table = table.sort_by("doc")
-        doc, comp = table["doc"].to_pylist(), table["component"].to_pylist()
-        signed = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SLOTS)
+        """(part, doc, component) of those of one part of a family that have a candidate of another component in it."""
+        flagged = np.zeros(table.num_rows, bool)
+        for i, near in _near_rows(table, most):
+            flagged[i] = flagged[near] = True
+        return table.select(["part", "doc", "component"]).filter(pa.array(flagged))
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """[n, n]: how many elements each two sets have in common. Sets are rows of a matrix of `width` elements at a time."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    use = times[column] > 1
+    _, column = np.unique(column[use], return_inverse=True)
+    row, order = row[use], np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (k, k + width))
+        x = np.zeros((len(sets), width), np.float32)
+        x[row[a:b], column[a:b] - k] = 1
+        out += x @ x.T
+    return out
+
+
+def _family_links(size: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links among one part's documents (doc, component, text, ...) that join different components."""
+        doc, comp = table["doc"].to_numpy(), table["component"].to_numpy().copy()
         flat, counts = shingle_sets(_split(table["text"].to_pylist()), size)
         ends = np.cumsum(counts)
-        sets = [flat[e - n : e] for e, n in zip(ends, counts, strict=True)]
-        joined, first = _Union(len(doc)), {}
-        for i, c in enumerate(comp):
-            joined.join(first.setdefault(c, i), i)
+        both = shared_counts([flat[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)])
         links = []
         for i in range(len(doc) - 1):
-            for j in (np.flatnonzero((signed[i + 1 :] != signed[i]).sum(1) <= most) + i + 1).tolist():
-                if joined.root(i) != joined.root(j) and _similar(sets[i], sets[j], percent):
-                    joined.join(i, j)
-                    links.append((doc[i], doc[j]))
-        return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}, _LINKS)
+            like = np.flatnonzero(100 * both[i, i + 1 :] >= percent * (counts[i] + counts[i + 1 :] - both[i, i + 1 :])) + i + 1
+            for c in np.unique(comp[like]).tolist():
+                if c != comp[i]:
+                    links.append((doc[i], doc[like[comp[like] == c][0]]))
+                    comp[comp == c] = comp[i]
+        return pa.table({"a": [int(a) for a, _ in links], "b": [int(b) for _, b in links]}, _LINKS)
 
     return run
 
@@ -307,7 +348,7 @@ def components_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
     first = materialize(digests.groupBy("d1", "d2", "n_shingles").agg(F.min("doc").alias("rep")), "representatives")
     members = digests.join(first, ["d1", "d2", "n_shingles"]).select("doc", "rep")
     # One document of each distinct set, from here on.
-    sets = materialize(digests.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "signature"), "sets")
+    sets = materialize(digests.join(first.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "signature", "n_shingles"), "sets")
     spark = rows.sparkSession
     shared = signature_keys(sets, chunks).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
     wanted = spark.sparkContext.broadcast(key_filter(shared, "key"))
@@ -343,14 +384,18 @@ def _rest_links(rows: DataFrame, sets: DataFrame, keyed: DataFrame, parts: DataF
     placed = keyed.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     held = materialize(placed.join(open_keys, "key", "left_semi").join(sets, "doc").select("key", "doc", "component", "signature"), "open")
-    families = materialize(_in_blocks(held, "key").groupBy("part").applyInArrow(_candidate_families(_most(chunks_for(percent))), "a long, b long").distinct(), "candidates")
+    most = _most(chunks_for(percent))
+    found = _in_blocks(held, "key", F.ceil(F.count("*") / BLOCK)).groupBy("part").applyInArrow(_candidate_families(most), "a long, b long").distinct()
+    families = materialize(found, "candidates")
     if families.isEmpty():
         return families
     whole = materialize(connected_components(families).select("doc", F.col("component").alias("family")), "families")
-    texts = _texts_of(rows, whole.select("doc"))
-    full = whole.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc")).join(sets, "doc").join(texts, "doc")
-    full = materialize(full.select("family", "doc", "component", "signature", "text"), "family-texts")
-    return materialize(_in_blocks(full, "family").groupBy("part").applyInArrow(_family_links(size, percent), "a long, b long"), "rest")
+    full = whole.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc")).join(sets, "doc")
+    full = materialize(full.select("family", "doc", "component", "signature", "n_shingles"), "family-rows")
+    blocks = F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    opened = materialize(_in_blocks(full, "family", blocks).groupBy("part").applyInArrow(_open_rows(most), f"part {_PART}, doc long, component long"), "open-rows")
+    texts = _texts_of(rows, materialize(opened.select("doc").distinct(), "open-docs"))
+    return materialize(opened.join(texts, "doc").groupBy("part").applyInArrow(_family_links(size, percent), "a long, b long"), "rest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ context of a batch of documents; runs are never changed.
 
 A new batch is merge-joined by gram hash with the runs before it. Of a context that came before, all windows are
 repeats. Where one gram has several contexts, windows may be equal though contexts differ; such windows are hashed
-whole, from the texts. Windows count as equal if their hashes over all 20 words and those of their grams, two
-independent 64-bit hashes, are equal: that verifies what the sampled fingerprints found. Runs are compacted into one
-when they become many.
+whole, from the texts. Windows count as equal if their hashes over all 20 words and those of their grams, two 64-bit
+hashes, are equal: that verifies what the sampled fingerprints found. Runs are compacted into one when they become more
+than MAX_RUNS. An index can be saved and opened again, to add later batches.
 
 What single tasks could gather of a frequent passage is bounded: a range of texts passes on one row of each context or
 window, the first; its other places are repeats already. Grams on very many rows are found by Misra-Gries summaries. They
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, by_bytes, documents, materialize, ordered, restored, shared_dir
+from .common import batch, by_bytes, documents, materialize, ordered, restored, scratch_path
 from .exact_dedup import heavy_candidates
 from .filters import has, key_filter, pair_key
 from .wordcache import release_memory
 
 WORDS, GRAM = 20, 6
-BATCHES, MAX_RUNS = 2, 3
+#: The documents go into the index in batches that end at these quantiles of their numbers: small ones first, whose runs
+#: are compacted before the last and largest batch meets them.
+BATCHES, MAX_RUNS = (0.05, 0.1, 0.2), 2
 #: Grams that are kept apart, at most.
 HEAVY = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -164,15 +167,33 @@ def _places(docs: DataFrame, chosen=None) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, _PLACES_SQL)
 
 
+_RUN = "k bigint, g bigint, h bigint, doc bigint, low bigint, high bigint"
+
+
 class FingerprintIndex:
     """Sorted immutable runs of the contexts of documents seen so far, in the shared folder."""
 
-    def __init__(self, spark, max_runs: int = MAX_RUNS):
-        self.spark, self.max_runs = spark, max_runs
-        self.path, self.runs = f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}", []
+    def __init__(self, spark, max_runs: int | None = None, path: str | None = None):
+        self.spark, self.max_runs = spark, MAX_RUNS if max_runs is None else max_runs
+        self.path, self.runs, self.compacted = path or scratch_path(spark, "fingerprints"), [], 0
         self.buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.texts: DataFrame | None = None
 
+    def save(self) -> None:
+        """Writes the names of the runs beside them."""
+        about = json.dumps({"runs": self.runs, "buckets": self.buckets, "max_runs": self.max_runs})
+        self.spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_index")
+
+    @classmethod
+    def open(cls, spark, path: str, texts: DataFrame) -> FingerprintIndex:
+        """A saved index, with the documents (doc, text as binary) that are in it."""
+        about = json.loads(spark.read.text(f"{path}/_index").first()[0])
+        index = cls(spark, about["max_runs"], path)
+        index.runs, index.buckets, index.texts = about["runs"], about["buckets"], texts
+        for name in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_RUN}) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {index.buckets} BUCKETS LOCATION '{path}/{name}'")
+        return index
+
     def _write(self, rows: DataFrame, heavy: DataFrame) -> str:
         """A run: rows (k, g, h, doc, low, high), bucketed and sorted by k, so that joins by k need no exchange. k is g, but
         for heavy grams it is mixed with h, so that no bucket gets all of such a gram."""
@@ -244,6 +265,7 @@ class FingerprintIndex:
         merged = self._write(first, heavy)
         self.drop()
         self.runs = [merged]
+        self.compacted += 1
 
     def drop(self) -> None:
         for r in self.runs:
@@ -251,12 +273,15 @@ class FingerprintIndex:
         self.runs = []
 
 
-def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(rows: DataFrame, batches: int | tuple[float, ...] | None = None) -> DataFrame:
     """(doc, spans): for each document of rows (doc, text as binary) with windows that came earlier, the arrays of (low,
-    high) as FingerprintIndex.add() has them. The documents go into the index in batches, by quantiles of doc."""
+    high) as FingerprintIndex.add() has them. The documents go into the index in batches, so many or with ends at these
+    quantiles of doc."""
     spark = rows.sparkSession
     index = FingerprintIndex(spark)
-    cuts = rows.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
+    batches = BATCHES if batches is None else batches
+    ends = [k / batches for k in range(1, batches)] if isinstance(batches, int) else list(batches)
+    cuts = rows.approxQuantile("doc", ends, 0.01) if ends else []
     bounds = [None, *sorted({int(c) for c in cuts}), None]
     spans = None
     for low, high in itertools.pairwise(bounds):
@@ -265,9 +290,10 @@ def repeated_spans(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
         part = part if high is None else part.where(F.col("doc") <= high)
         found = index.add(part)
         spans = found if spans is None else spans.unionByName(found)
-    out = materialize(spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
-    index.drop()
-    return out
+    try:
+        return materialize(spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    finally:
+        index.drop()
 
 
 def _kept(words: list[bytes], spans) -> list[bytes]:
@@ -280,7 +306,7 @@ def _kept(words: list[bytes], spans) -> list[bytes]:
     return list(itertools.compress(words, keep.tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | tuple[float, ...] | None = None, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space; with_text also kept_text
     (null where nothing goes).
 
@@ -324,7 +350,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out if with_text else out.drop("kept_text")
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", batches: int = BATCHES) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", batches: int | tuple[float, ...] | None = None) -> DataFrame:
     """docs with the repeated words cut out of their texts: where words go, the text is the others joined by one space,
     and the length column, if there is one, is the new text's. Every row stays, even one that loses all of its words."""
     rows = ordered(docs, id_col, text_col, rest=True)

@@ -78,10 +78,48 @@ def test_near_when_a_keys_first_document_is_not_similar(docs_of, monkeypatch):
         rows.append((k, " ".join(w)))
         rows.append((100 + k, " ".join([*w, "end"])))
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", 9)
     out = near_dedup.near_duplicates(docs_of(rows), 3, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.components(rows, 3, 85)
 
 
+def test_near_in_a_star_whose_centre_is_last(docs_of, monkeypatch):
+    """Copies are like the original, which has the largest id, and mostly not like each other."""
+    r = random.Random(8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 30)
+    monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", 20)
+    base = [f"t{k}" for k in range(100)]
+    rows = [(1000, " ".join(base))]
+    for k in range(90):
+        w = list(base)
+        for _ in range(2 + k % 3):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        rows.append((k, " ".join(w)))
+    out = near_dedup.near_duplicates(docs_of(rows), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.components(rows, 5, 80)
+
+
+def test_shared_counts():
+    import numpy as np
+
+    r = random.Random(2)
+    sets = [np.unique(np.array([r.randrange(300) for _ in range(r.randrange(1, 90))], np.uint64)) for _ in range(40)]
+    got = near_dedup.shared_counts(sets, width=16)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
+
+
+@pytest.mark.parametrize("n", [0, 5, 300_000])
+def test_filters_have_all_their_keys(spark, n):
+    import numpy as np
+
+    from graphloom.llm import filters
+
+    bits = filters.key_filter(spark.range(0, 3 * n, 3).withColumnRenamed("id", "doc"), "doc")
+    keys = np.arange(3 * n)
+    passed = filters.has(bits, keys)
+    assert passed[::3].all() and (n == 0 or passed.mean() < 0.5) and (filters.LEAST_BITS, 22)[n > 5] == (len(bits) * 64 - 1).bit_length()
+
+
 def test_near_of_repeated_and_null_ids(docs_of):
     out = near_dedup.near_duplicates(docs_of(ODD), 3, 85)
     assert out.count() == len(ODD)
@@ -116,12 +154,31 @@ def test_substrings_against_brute_force(docs_of, batches, heavy, monkeypatch):
 
 
 def test_index_compacts_its_runs(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 1)
-    monkeypatch.setattr(substring_dedup.FingerprintIndex.__init__, "__defaults__", (1,))
-    rows = [(k, prose(k % 5, 60)) for k in range(30)]
-    out = substring_dedup.remove_repeats(docs_of(rows), batches=4).collect()
+    """Also with the batches that the query has, of which one comes after a compaction."""
+    made, init = [], substring_dedup.FingerprintIndex.__init__
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "__init__", lambda self, *a, **k: (made.append(self), init(self, *a, **k))[1])
+    rows = [(k, prose(k % 5, 60)) for k in range(60)]
     want = {i: len(w) - len(k) for i, (w, k) in brute.without_repeats(rows).items()}
-    assert {r.doc_id: r.n_removed for r in out} == want
+    for batches in (None, 6):
+        out = substring_dedup.remove_repeats(docs_of(rows), batches=batches).collect()
+        assert {r.doc_id: r.n_removed for r in out} == want and made[-1].compacted == (1 if batches is None else 2)
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    shared = prose(77, 50)
+    rows = [(k, f"{prose(k, 30)} {shared if k % 3 == 0 else ''} {prose(k + 100, 30)}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc long, text string").select("doc", F.col("text").cast("binary").alias("text"))
+    first, second = docs.where("doc < 20"), docs.where("doc >= 20")
+    index = substring_dedup.FingerprintIndex(spark, path=str(tmp_path / "index"))
+    index.add(first)
+    index.save()
+    index.drop()
+    again = substring_dedup.FingerprintIndex.open(spark, str(tmp_path / "index"), first)
+    found = {r.doc for r in again.add(second).collect()}
+    again.drop()
+    assert found == {k for k in range(20, 40) if k % 3 == 0}
 
 
 def test_substrings_of_repeated_and_null_ids(docs_of):
