@@ -146,17 +146,17 @@ def _counts(words: list[str], times: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def fit(words: list[tuple[str, str, int]], samples: list[tuple[str, np.ndarray | None, str]] = ()) -> LanguageModels:
-    """From (language, word, count) and, for calibration, samples (language, None, text)."""
+def fit(words: list[tuple[str, str, int]]) -> LanguageModels:
+    """From (language, word, count)."""
     per = {}
     for lang in sorted({x[0] for x in words}):
         own = [(w, c) for x, w, c in words if x == lang]
         per[lang] = _counts([w for w, _ in own], np.array([c for _, c in own]))
-    return fit_counts(per, samples)
+    return fit_counts(per)
 
 
-def fit_counts(per: dict[str, list[np.ndarray]], samples: list[tuple[str, np.ndarray | None, str]] = ()) -> LanguageModels:
-    """From the columns of _counts() of each language."""
+def fit_counts(per: dict[str, list[np.ndarray]]) -> LanguageModels:
+    """From the columns of _counts() of each language; not calibrated, so that only texts without letters are rejected."""
     langs = sorted(per)
     if not langs:
         raise NothingToLearn("no labelled documents to learn languages from")
@@ -195,10 +195,9 @@ def fit_counts(per: dict[str, list[np.ndarray]], samples: list[tuple[str, np.nda
             below = p
     ends = lambda parts: [np.cumsum([0, *map(len, p)]) for p in parts]
     join = lambda parts: [np.concatenate(p) for p in parts]
-    model = LanguageModels(
+    return LanguageModels(
         langs, join(grams), join(logp), ends(grams), join(contexts[1:]), join(backoff[1:]), ends(contexts[1:]), unseen, np.full(len(langs), np.inf), np.ones((len(langs), 2)), LEAST, 1.0
     )
-    return _calibrate(model, model, samples)
 
 
 def nothing_learned() -> LanguageModels:
@@ -217,16 +216,11 @@ def _spread(off: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.sqrt([max(a2, 1e-4), max(np.mean(off[short] * n[short]), 1.0)])
 
 
-def _calibrate(model: LanguageModels, trial: LanguageModels, samples) -> LanguageModels:
+def _calibrate(model: LanguageModels, trial: LanguageModels, totals: np.ndarray, truth: np.ndarray) -> LanguageModels:
     """The usual cross-entropy by language, its deviation by length, the cut and the scale that makes confidence fit
-    accuracy, as the trial model has them, which wasn't learned from the samples. Where a language has under 5 samples, the
-    deviation is that of all; one without any has the highest usual cross-entropy of the others. With no sample at all
-    only texts without letters are rejected."""
-    samples = [x for x in samples if x[0] in trial.langs]  # a language may have no letters in what was learned from
-    if not samples:
-        return model
-    totals = np.array([trial.words(t.lower().split()).sum(0) for _, _, t in samples])
-    truth = np.array([trial.langs.index(x) for x, _, _ in samples])
+    accuracy, from samples' sums of the trial model's words() and their languages' numbers in it; it wasn't learned from
+    them. Where a language has under 5 samples, the deviation is that of all; one without any has the highest usual
+    cross-entropy of the others. With no sample at all only texts without letters are rejected."""
     n = totals[:, -1]
     ok = n > 0
     if not ok.any():
@@ -270,10 +264,34 @@ def learn(docs: DataFrame, learned_from, max_docs: int = MAX_DOCS, id_col="doc_i
     few = F.when(F.col("m") > 1, F.greatest(F.lit(1), F.least(F.lit(max_docs // 10), F.floor(F.col("m") / 5)))).otherwise(0)
     ranked = sample.withColumn("rank", F.row_number().over(own.orderBy(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.xxhash64("text")))).withColumn("m", F.count(F.lit(1)).over(own))
     sample = materialize(ranked.select("text", "lang", (F.col("rank") <= few).alias("out")), "sample")
-    samples = [(r.lang, None, r.text) for r in sample.where(F.col("out") & (F.length("text") < 200_000)).select("lang", "text").collect()]
     model = fit_counts(_gram_counts(sample))
     trained = _gram_counts(sample.where(~F.col("out")))
-    return _calibrate(model, fit_counts(trained), samples) if trained else model
+    if not trained:
+        return model
+    trial = fit_counts(trained)
+    return _calibrate(model, trial, *_sample_totals(sample.where("out"), trial))
+
+
+def _sample_totals(samples: DataFrame, trial: LanguageModels) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows (text, lang) of languages that the model has: the sums of its words(), and the languages' numbers. The
+    texts are read in tasks; the driver gets a row of numbers for each."""
+    shared = samples.sparkSession.sparkContext.broadcast(trial)
+    schema = pa.schema([("truth", pa.int32()), ("total", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, langs = _cache(shared.value), shared.value.langs
+        for b in batches:
+            texts, truth = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j in by_bytes(texts):
+                words = [t.lower().split() for t in texts[i:j]]
+                cache.fill(set().union(*words))
+                totals = sums(cache.matrix, [cache.rows(ws) for ws in words])
+                rows = [(langs.index(x), t) for x, t in zip(truth[i:j], totals.tolist(), strict=True) if x in langs]
+                if rows:
+                    yield batch(schema, *zip(*rows, strict=True))
+
+    found = samples.select("text", "lang").mapInArrow(run, "truth int, total array<double>").toArrow()
+    return np.array(found["total"].to_pylist(), np.float64).reshape(-1, len(trial.langs) + 2), np.array(found["truth"].to_pylist(), np.int64)
 
 
 def _gram_counts(sample: DataFrame) -> dict[str, list[np.ndarray]]:

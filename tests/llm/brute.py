@@ -72,3 +72,42 @@ def best_fit(lengths, size):
         else:
             bins.append(size - n)
     return sorted(bins)
+
+
+def kneser_ney(words, order, chars):
+    """A function of a word: the log probability of its characters and its end, from {word: count}, by the definition; so
+    many characters are known in all. An n-gram has a count at the highest order; else its number of distinct characters in front or, at the word's start,
+    where there is none, its count."""
+    import math
+
+    texts = {f" {w} ": n for w, n in words.items()}
+    raw = Counter()
+    for t, n in texts.items():
+        for end in range(1, len(t)):
+            for k in range(1, order + 1):
+                if end - k + 1 >= 0:
+                    raw[t[end - k + 1 : end + 1]] += n
+    grams = [None, *({g for g in raw if len(g) == k} for k in range(1, order + 1))]
+    count = {}
+    for k in range(1, order + 1):
+        more = Counter(g[1:] for g in grams[k + 1]) if k < order else {}
+        for g in grams[k]:
+            count[g] = raw[g] if k == order else more.get(g, raw[g] if k > 1 and g[0] == " " else 0)
+    least = {}
+    for k in range(1, order + 1):
+        c = Counter(count[g] for g in grams[k])
+        least[k] = c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0.5
+
+    def p(char, context):
+        if len(context) >= order:
+            context = context[len(context) - order + 1 :]
+        k = len(context) + 1
+        lower = p(char, context[1:]) if context else 1 / (chars + 1)
+        own = [g for g in grams[k] if g[:-1] == context]
+        if not own:
+            return lower
+        total = sum(count[g] for g in own)
+        back = max(sum(min(count[g], least[k]) for g in own) / total, 1e-6)
+        return max(count.get(context + char, 0) - least[k], 0) / total + back * lower
+
+    return lambda w: sum(math.log(p(c, f" {w} "[:i])) for i, c in enumerate(f"{w} ", 1))

@@ -8,6 +8,7 @@ from graphloom.llm import bpe, language_id, quality_classifier, sentencepiece_co
 from graphloom.llm.bpe import PairRanks, merge_words
 from graphloom.llm.sentencepiece_codec import PieceModel, default_model
 
+from . import brute
 from .brute import sha
 from .conftest import ODD, prose
 
@@ -45,6 +46,19 @@ def test_languages_of_odd_texts(docs_of):
     assert language_id.identify(docs_of([]), models).count() == 0
 
 
+def test_scores_against_kneser_ney_by_the_definition():
+    r = random.Random(6)
+    for seed in range(3):
+        counts = {lang: {w: 1 + k % 4 for k, w in enumerate(sorted(set(text_of(lang, seed, 40).split())))} for lang in SYLLABLES}
+        m = language_id.fit([(lang, w, n) for lang, ws in counts.items() for w, n in ws.items()])
+        probe = ["", "a", "zzz", *r.sample([w for ws in counts.values() for w in ws], 20), *("".join(r.choice("therinüéßq") for _ in range(r.randrange(1, 9))) for _ in range(40))][1:]
+        chars = len({c for ws in counts.values() for w in ws for c in w} | {" "})
+        got = m.words(probe)
+        for j, lang in enumerate(m.langs):
+            plain = brute.kneser_ney(counts[lang], language_id.ORDER, chars)
+            assert np.allclose(got[:, j], [plain(w) for w in probe], atol=1e-3)
+
+
 def test_probabilities_after_a_context_add_up():
     """Over all characters that any word has and the word's end; characters never seen have the little that is left."""
     words = [("en", w, n) for n, w in enumerate(sorted({w for k in range(5) for w in text_of("en", k).split()}), 1)]
