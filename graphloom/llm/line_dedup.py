@@ -64,7 +64,7 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, percent: int =
     made = F.array_compact(F.array(*[template(f"t{x}", x) for x in LEVELS]))
     templates = materialize(marked.select("row", "digest", "line", F.explode(made).alias("template")), "templates")
     frequent = materialize(templates.select("template", "digest").distinct().groupBy("template").count().where(F.col("count") >= min_texts).select("template"), "frequent")
-    return templates.join(frequent, "template", "left_semi").select("row", "line").distinct()
+    return templates.join(frequent.hint("merge"), "template", "left_semi").select("row", "line").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, percent: int = CONSTANT_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +80,8 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, percent: i
     rows = plain.withColumn("row", F.col("doc_id").cast("long")) if whole else materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
     drops = materialize(recurring_lines(rows.select("row", "text"), min_texts, percent).groupBy("row").agg(F.collect_list("line").alias("drop")), "drops")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    out = rows.join(drops, "row", "left").withColumn("lines", lines)
+    # At every size the same join: a broadcast while drops are few would only hide that texts are dealt by row.
+    out = rows.join(drops.hint("merge"), "row", "left").withColumn("lines", lines)
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("drop", i)), "\n"))
     return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(kept, F.lit("")).alias("kept_text"))
 
