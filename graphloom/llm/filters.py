@@ -1,7 +1,7 @@
 """Filters that tell which rows later passes need.
 
-They only save work: a key that was put in always passes, others may. A filter has 8 bits or more for each slot in use, up
-to 2^MOST_BITS bits, which is what the driver and the executors hold of it at most; a larger number of keys fills it, more
+They only save work: a key that was put in always passes, others may. A filter has 64 bits or more for each slot in use,
+so that under 2 % of the others pass, up to 2^MOST_BITS bits, which is what the driver and the executors hold of it at most; a larger number of keys fills it, more
 rows pass and results stay the same.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import batch
 
-LEAST_BITS, MOST_BITS = 20, 28
+LEAST_BITS, MOST_BITS = 26, 28
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -54,7 +54,7 @@ def key_filter(keys: DataFrame, *columns: str) -> np.ndarray:
         return np.zeros(1 << (LEAST_BITS - 6), np.uint64)
     word, bits = found["word"].to_numpy(), found["bits"].to_numpy().view(np.uint64)
     used = int(np.bitwise_count(bits).sum())
-    size = min(MOST_BITS, max(LEAST_BITS, (8 * used - 1).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, (64 * used - 1).bit_length()))
     out = np.zeros(1 << (size - 6), np.uint64)
     # Slots are a hash's leading bits, so those of a smaller filter are the quotients.
     for k in range(64):
