@@ -35,9 +35,8 @@ from .filters import has, key_filter, pair_key
 from .wordcache import release_memory
 
 WORDS, GRAM = 20, 6
-#: The documents go into the index in batches that end at these quantiles of their numbers: small ones first, whose runs
-#: are compacted before the last and largest batch meets them.
-BATCHES, MAX_RUNS = (0.05, 0.15), 1
+#: The documents go into the index in batches that end at these quantiles of their numbers.
+BATCHES, MAX_RUNS = (0.5,), 3
 #: Grams that are kept apart, at most.
 HEAVY = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)

@@ -154,14 +154,14 @@ def test_substrings_against_brute_force(docs_of, batches, heavy, monkeypatch):
 
 
 def test_index_compacts_its_runs(spark, docs_of, monkeypatch):
-    """Also with the batches that the query has, of which one comes after a compaction."""
+    """So that a batch meets a compacted run."""
+    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 1)
     made, init = [], substring_dedup.FingerprintIndex.__init__
     monkeypatch.setattr(substring_dedup.FingerprintIndex, "__init__", lambda self, *a, **k: (made.append(self), init(self, *a, **k))[1])
     rows = [(k, prose(k % 5, 60)) for k in range(60)]
     want = {i: len(w) - len(k) for i, (w, k) in brute.without_repeats(rows).items()}
-    for batches in (None, 6):
-        out = substring_dedup.remove_repeats(docs_of(rows), batches=batches).collect()
-        assert {r.doc_id: r.n_removed for r in out} == want and made[-1].compacted == (2 if batches is None else 5)
+    out = substring_dedup.remove_repeats(docs_of(rows), batches=(0.05, 0.15, 0.6)).collect()
+    assert {r.doc_id: r.n_removed for r in out} == want and made[-1].compacted == 3
 
 
 def test_index_is_opened_again(spark, tmp_path):
