@@ -11,6 +11,7 @@ stay: one whose cross-entropy is then above what sampled texts kept out of train
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -75,16 +76,19 @@ class LanguageModels:
     def words(self, words: list[str]) -> np.ndarray:
         """For each word: log probability in each language, the highest of them, and how many characters were predicted.
         Other characters than letters part words."""
-        parts = [p for w in words for p in _LETTERS.findall(w.lower())] if words else []
-        which = [i for i, w in enumerate(words) for _ in _LETTERS.findall(w.lower())]
+        found = [_LETTERS.findall(w.lower()) for w in words]
+        parts = list(itertools.chain.from_iterable(found))
         out = np.zeros((len(words), len(self.langs) + 2))
         if not parts:
             return out
         owner, place, _, grams = _grams(parts)
         at = np.flatnonzero(place > 0)
-        word = np.array(which)[owner[at]]
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, found), np.int64, len(found)))[owner[at]]
+        # A score depends on the longest n-gram that ends there within the word; each distinct one is looked up once.
+        longest = np.choose(np.minimum(place[at], ORDER - 1), [g[at] for g in grams[:ORDER]])
+        _, first, inverse = np.unique(longest, return_index=True, return_inverse=True)
         for j in range(len(self.langs)):
-            out[:, j] = np.bincount(word, self._scores(j, at, place, grams), len(words))
+            out[:, j] = np.bincount(word, self._scores(j, at[first], place, grams)[inverse], len(words))
         if self.langs:
             out[:, -2] = out[:, :-2].max(1)
         out[:, -1] = np.bincount(word, minlength=len(words))
@@ -93,14 +97,15 @@ class LanguageModels:
     def _scores(self, j: int, at: np.ndarray, place: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
         """Log probabilities in a language of the characters at these places."""
         score = np.zeros(len(at))
-        todo = np.arange(len(at))
+        todo, left = np.arange(len(at)), np.ones(len(at), bool)
         for k in range(ORDER, 0, -1):
             fits = todo if k == 1 else todo[place[at[todo]] >= k - 1]
             a, b = self.gram_ends[k - 1][j : j + 2]
             found = _find(self.grams[k - 1][a:b], grams[k - 1][at[fits]])
             hit = found >= 0
             score[fits[hit]] += self.logp[k - 1][a:b, 0][found[hit]]
-            todo = np.setdiff1d(todo, fits[hit], assume_unique=True)
+            left[fits[hit]] = False
+            todo = todo[left[todo]]
             if k > 1:  # the context's k - 1 characters end one before
                 miss = fits[~hit]
                 a, b = self.context_ends[k - 2][j : j + 2]
